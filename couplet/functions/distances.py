@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from couplet.functions.vectors import DISTANCE_EPS, at_least, each, fold, total
 
@@ -52,7 +52,7 @@ _NAMES: dict[str, Callable[[Column, Column, int], Column]] = {
 def python_distance(f: Callable[[np.ndarray, np.ndarray], float]) -> Callable[[Column, Column, int], Column]:
     """Wrap a plain ``f(p, q) -> float`` as an Arrow-batched scalar function."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def call(p: pd.Series, q: pd.Series) -> pd.Series:
         return pd.Series([
             None if a is None or b is None else float(f(np.asarray(a, float), np.asarray(b, float)))

@@ -44,6 +44,14 @@ def each(size: int, f: Callable[..., Column], *vectors: Column) -> Column:
     return F.transform(_indices(size), lambda j: f(*[F.get(v, j) for v in vectors]))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, for formulas that use a computed vector often.
+
+    Written out, nested vector formulas grow with a power of the length; bound, they stay small.
+    """
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def literal_vector(values) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
@@ -99,10 +107,10 @@ def log_base(p: Column, size: int) -> Column:
 
 def softmax(x: Column, size: int) -> Column:
     """Max-shifted softmax."""
-    top = F.array_max(x)
-    e = each(size, lambda v: F.exp(v - top), x)
-    s = total(e, size)
-    return each(size, lambda v: v / s, e)
+    return let(x, lambda x: let(
+        F.array_max(x), lambda top: let(
+            each(size, lambda v: F.exp(v - top), x), lambda e: let(
+                total(e, size), lambda s: each(size, lambda v: v / s, e)))))
 
 
 def log_sum_exp(x: Column, size: int) -> Column:
@@ -128,18 +136,22 @@ def temper_power(p: Column, size: int, temperature: float, eps: float = TEMPER_E
     """Rows ``p ** (1/T)`` renormalised after a clip; an underflowing row fails the job."""
     t = check_temperature(temperature)
     powered = each(size, lambda x: F.pow(at_least(x, eps), F.lit(1.0 / t)), p)
-    s = total(powered, size)
     message = F.lit(f"temperature {t} underflows: a row collapsed to zero under p ** (1/T)")
-    return F.when(s > 0, each(size, lambda x: F.try_divide(x, s), powered)).otherwise(F.raise_error(message))
+
+    def rescale(v: Column, s: Column) -> Column:
+        return F.when(s > 0, each(size, lambda x: F.try_divide(x, s), v)).otherwise(F.raise_error(message))
+
+    return let(powered, lambda v: let(total(v, size), lambda s: rescale(v, s)))
 
 
 def temper_prior(p: Column, size: int, temperature: float) -> Column:
     """Tempered prior: add the pseudo count, renormalise, and for T != 1 raise to ``1/T`` and rescale."""
     t = check_temperature(temperature)
-    shifted = normalise(each(size, lambda x: x + F.lit(PRIOR_EPS), p), size)
+    shifted = let(each(size, lambda x: x + F.lit(PRIOR_EPS), p), lambda v: normalise(v, size))
     if t == 1.0:
         return shifted
-    return normalise(each(size, lambda x: F.pow(x, F.lit(1.0 / t)), shifted), size)
+    risen = let(shifted, lambda v: each(size, lambda x: F.pow(x, F.lit(1.0 / t)), v))
+    return let(risen, lambda v: normalise(v, size))
 
 
 def argmax_label(p: Column, levels: list[str]) -> Column:

@@ -64,7 +64,7 @@ def _blocks(ranked: Ranked, n_chunks: int, block_scores: int) -> tuple[DataFrame
         F.array_sort(F.collect_list(F.struct("value", "n", "pos", "mid"))).alias("rows"),  # <= block_scores entries
         F.sum("n").cast("long").alias("total"), F.sum("pos").cast("long").alias("total_pos"))
     blocks = materialise(blocks.select("block", "total", "total_pos", *[
-        F.transform("rows", lambda r, c=c: r[c]).alias(c) for c in ("n", "pos", "mid")]))
+        F.col("rows")[c].alias(c) for c in ("n", "pos", "mid")]))
     totals = [tuple(r) for r in blocks.select("block", "total", "total_pos").orderBy("block").collect()]
     spread = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("chunk"),
                            "block", "n", "pos", "mid")

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from couplet.functions.distances import resolve_distance
 from couplet.functions.sampling import hypergeometric, keyed_generator, permuted_table_terms
-from couplet.functions.vectors import argmax_label, each, normalise, total, xlog2x
+from couplet.functions.vectors import argmax_label, normalise, total
 from couplet.operators.joint import joint_table, pick_seed
-from couplet.operators.metrics import check_mode, information_columns, information_terms, normalised_information
+from couplet.operators.metrics import check_mode, from_terms, information_terms
 from couplet.operators.ranks import exact_quantiles
 from couplet.operators.shared import clone_filter, materialise
 from couplet.spec import CLONE, COVARIATE, PHENOTYPE, Study
@@ -143,8 +143,7 @@ def permutation_null(study: Study, *, metric: str = "mutual_information", covari
     ct = ct.withColumn("mass", F.col("counts"))
     terms = materialise(ct.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_clones"),
                                               *information_terms(F.col("mass"), size)))
-    observed = terms.select(*keys, *[c.alias(n) for n, c in information_columns(size).items()])
-    observed = observed.select(*keys, "h_clone", "h_phenotype", normalised_information(normalize_mode).alias("observed"))
+    observed = from_terms(terms, keys, size).select(*keys, F.col(f"nmi_{normalize_mode}").alias("observed"))
     if n_perm <= 0:
         raise ValueError("n_perm must be positive")
 
@@ -190,8 +189,7 @@ def permutation_null(study: Study, *, metric: str = "mutual_information", covari
     drawn = parts.groupBy(*keys, "draw").agg(F.sum("part").alias("__a"))
     # margins are fixed, so every permutation shares all other terms of its stratum
     fixed = terms.select(*keys, "__r", *[f"__k{j}" for j in range(size)])
-    drawn = drawn.join(fixed, keys).select(*keys, "draw", *[c.alias(n) for n, c in information_columns(size).items()])
-    nulls = drawn.select(*keys, normalised_information(normalize_mode).alias("null"))
+    nulls = from_terms(drawn.join(fixed, keys), keys, size).select(*keys, F.col(f"nmi_{normalize_mode}").alias("null"))
     compared = nulls.join(observed, keys)
     out = compared.groupBy(*keys).agg(
         F.max("observed").alias("observed"), F.avg("null").alias("null_mean"),

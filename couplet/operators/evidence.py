@@ -9,10 +9,10 @@ from pyspark.ml.feature import PCA, Normalizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from couplet.functions.vectors import BASE_EPS, argmax_label, each, fold, normalise, xlog2x
-from couplet.operators.joint import _combine_weights, row_bytes, softmax_rows
-from couplet.operators.metrics import information_by, normalised_information
-from couplet.operators.shared import lookup_join, measure_side
+from couplet.functions.vectors import BASE_EPS, argmax_label, each, fold
+from couplet.operators.joint import combine_weights, softmax_rows
+from couplet.operators.metrics import check_mode, information_by
+from couplet.operators.shared import lookup_join
 from couplet.spec import CLONE, COVARIATE, PHENOTYPE, Study, count_table, levels_of
 
 
@@ -56,8 +56,7 @@ def phenotype_logits(df: DataFrame, phenotypes, *, features: str = "latent", tem
 def _cells_with_base(study: Study, cells: DataFrame | None) -> DataFrame:
     """Each cell next to its own pair's distribution, by key, whatever the order or subset of cells."""
     cells = study.cells if cells is None else cells
-    dims = study.dims()
-    side = measure_side(dims, "n_cells", row_bytes(study.size))
+    dims, side = study.dims()
     base = dims.select(CLONE, COVARIATE, F.col("p").alias("__p"), F.col("n_cells").alias("__w"))
     joined = lookup_join(cells.drop("__p", "__w"), base, [CLONE, COVARIATE], "__w", side=side)
     return joined.drop("__w")
@@ -66,7 +65,7 @@ def _cells_with_base(study: Study, cells: DataFrame | None) -> DataFrame:
 def predict(study: Study, cells: DataFrame | None = None) -> DataFrame:
     """Cells with ``probs``: softmax of the gated (or additive) sum of logits and ``log p``."""
     size = study.size
-    logit_weight, base_weight = _combine_weights(study.gate, 1.0)
+    logit_weight, base_weight = combine_weights(study.gate, 1.0)
     joined = _cells_with_base(study, cells)
     keep = [c for c in joined.columns if c not in ("__p", "probs")]
     x = each(size, lambda l, p: l * logit_weight + F.ln(p + F.lit(BASE_EPS)) * base_weight,
@@ -89,7 +88,7 @@ def hard_labels(df: DataFrame, phenotypes, probs: str = "probs", out: str = "pre
 def score_cells(study: Study) -> DataFrame:
     """Cells with ``probs``, ``log_posterior`` and ``predicted``, from one lookup."""
     size = study.size
-    logit_weight, base_weight = _combine_weights(study.gate, 1.0)
+    logit_weight, base_weight = combine_weights(study.gate, 1.0)
     joined = _cells_with_base(study, None)
     joined = joined.withColumn("__log", each(size, lambda p: F.ln(p + F.lit(BASE_EPS)), F.col("__p")))
     joined = joined.withColumn("log_posterior", each(size, lambda l, b: l + b, F.col("logits"), F.col("__log")))
@@ -102,7 +101,7 @@ def score_cells(study: Study) -> DataFrame:
 def evidence_summary(study: Study) -> DataFrame:
     """One row: mean KL(prior || probs) in nats, mean entropy in nats, mean ``sum of p**2``."""
     size = study.size
-    logit_weight, base_weight = _combine_weights(study.gate, 1.0)
+    logit_weight, base_weight = combine_weights(study.gate, 1.0)
     joined = _cells_with_base(study, None).select("__p", each(
         size, lambda l, p: l * logit_weight + F.ln(p + F.lit(BASE_EPS)) * base_weight,
         F.col("logits"), F.col("__p")).alias("__x"))
@@ -146,4 +145,4 @@ def cluster_nmi(df: DataFrame, *, k: int, clone: str = CLONE, features: str = "f
         .where(F.col(CLONE).isNotNull())
     joint = count_table(cells, levels, [CLONE]).withColumnRenamed("counts", "mass").withColumn("method", F.lit(method))
     info = information_by(joint, ["method"], k)
-    return info.select("method", F.lit(k).alias("k"), "mi", normalised_information(normalize_mode).alias("nmi"))
+    return info.select("method", F.lit(k).alias("k"), "mi", F.col(f"nmi_{check_mode(normalize_mode)}").alias("nmi"))

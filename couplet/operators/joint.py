@@ -16,11 +16,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from couplet.functions.sampling import dirichlet_draws, fold_cells
 from couplet.functions.vectors import (
-    BASE_EPS, UNROLL, at_least, each, fold, log_base, sanitize, temper_base, total,
-)
-from couplet.operators.shared import (
-    clone_filter, in_requested_order, lookup_join, measure_side, vector_sum,
+    BASE_EPS, UNROLL, at_least, each, log_base, sanitize, temper_base, total,
 )
+from couplet.operators.shared import LookupSide, clone_filter, in_requested_order, lookup_join, vector_sum
 from couplet.spec import CLONE, COVARIATE, PHENOTYPE, Study
 
 MAGNITUDE_FLOOR = 1e-6  # Fixed value: smallest total concentration.
@@ -39,13 +37,15 @@ def label_columns(df: DataFrame) -> list[str]:
 def tempered_dims(study: Study, dims: DataFrame, temperature: float) -> DataFrame:
     """Add the sanitised, once-tempered base and the concentration magnitude to the pair table."""
     size = study.size
-    base = temper_base(sanitize(F.col("p"), size), size, temperature)
     if "conc" in dims.columns:
         magnitude = at_least(total(F.col("conc"), size), MAGNITUDE_FLOOR)
     else:
         magnitude = F.lit(study.local_scale).cast("double")
-    return dims.select(CLONE, COVARIATE, "n_cells", *label_columns(dims),
-                       base.alias("base"), magnitude.alias("magnitude"))
+    keep = [CLONE, COVARIATE, "n_cells", *label_columns(dims)]
+    clean = dims.select(*keep, magnitude.alias("magnitude"), sanitize(F.col("p"), size).alias("base"))
+    if float(temperature) == 1.0:
+        return clean
+    return clean.withColumn("base", temper_base(F.col("base"), size, temperature))
 
 
 def partials(study: Study, *, covariates: list[str] | None = None, groupby: str | None = None,
@@ -68,7 +68,8 @@ def partials(study: Study, *, covariates: list[str] | None = None, groupby: str
     if n_samples > 0 and study.local_scale is None:
         raise RuntimeError("n_samples > 0 needs the local scale of the posterior")
 
-    dims = tempered_dims(study, _restrict(study.dims(groupby, splitby), wanted, clones), temperature)
+    dims, measured = study.dims(groupby, splitby)
+    dims = tempered_dims(study, _restrict(dims, wanted, clones), temperature)
     seed = pick_seed(random_state)
     if not use_logits:
         scale = F.col("n_cells").cast("double") if weighted else F.lit(1.0)
@@ -82,33 +83,28 @@ def partials(study: Study, *, covariates: list[str] | None = None, groupby: str
 
     cells = _restrict(study.cells.select(
         CLONE, COVARIATE, *[c for c in ("cell_id",) if c in study.cells.columns], "logits"), wanted, clones)
-    logit_weight, base_weight = _combine_weights(study.gate, temperature)
+    logit_weight, base_weight = combine_weights(study.gate, temperature)
     if n_samples == 0:
-        return _fold_native(study, cells, dims, logit_weight, base_weight)
-    return _fold_draws(study, cells, dims, n_samples, seed, logit_weight, base_weight)
+        return _fold_native(study, cells, dims, measured, logit_weight, base_weight)
+    return _fold_draws(study, cells, dims, measured, n_samples, seed, logit_weight, base_weight)
 
 
 def _restrict(df: DataFrame, covariates: list[str], clones) -> DataFrame:
     return clone_filter(df.where(F.col(COVARIATE).isin(covariates)), clones)
 
 
-def _combine_weights(gate: float | None, temperature: float) -> tuple[float, float]:
+def combine_weights(gate: float | None, temperature: float) -> tuple[float, float]:
     """Weights of the logit and of ``log base`` inside the softmax."""
     t = float(temperature)
     return (1.0 / t, 1.0 / t) if gate is None else (gate / t, (1.0 - gate) / t)
 
 
-def row_bytes(size: int) -> int:
-    return 160 + 24 * size
-
-
-def _fold_native(study: Study, cells: DataFrame, dims: DataFrame, logit_weight: float,
+def _fold_native(study: Study, cells: DataFrame, dims: DataFrame, measured: LookupSide, logit_weight: float,
                  base_weight: float) -> DataFrame:
     size = study.size
     labels = label_columns(dims)
     side = dims.select(CLONE, COVARIATE, "n_cells", *labels, log_base(F.col("base"), size).alias("log_base"))
-    joined = lookup_join(cells, side, [CLONE, COVARIATE], "n_cells", row_bytes(size),
-                         side=measure_side(dims.select(CLONE, COVARIATE, "n_cells"), "n_cells", row_bytes(size)))
+    joined = lookup_join(cells, side, [CLONE, COVARIATE], "n_cells", side=measured)
     keys = [COVARIATE, CLONE, *labels]
     combined = each(size, lambda l, b: l * logit_weight + b * base_weight, F.col("logits"), F.col("log_base"))
     return softmax_rows(joined.select(*keys, combined.alias("__x")), keys, "__x", "part", size) \
@@ -175,7 +171,7 @@ def _draw_rows(dims: DataFrame, size: int, n_samples: int, seed: int) -> DataFra
     return ready.mapInArrow(run, _draw_schema(ready, names))
 
 
-def _fold_draws(study: Study, cells: DataFrame, dims: DataFrame, n_samples: int, seed: int,
+def _fold_draws(study: Study, cells: DataFrame, dims: DataFrame, measured: LookupSide, n_samples: int, seed: int,
                 logit_weight: float, base_weight: float) -> DataFrame:
     """Cell fold under draws: never ``cells x draws`` rows.
 
@@ -186,9 +182,8 @@ def _fold_draws(study: Study, cells: DataFrame, dims: DataFrame, n_samples: int,
     size = study.size
     names = [COVARIATE, CLONE, *label_columns(dims)]
     on = [CLONE, COVARIATE]
-    side = measure_side(dims.select(*on, "n_cells"), "n_cells", row_bytes(size))
-    joined = lookup_join(cells, dims, on, "n_cells", side=side, salt_column="__salt")
-    if side.broadcast:      # a shuffled lookup already placed equal pairs together
+    joined = lookup_join(cells, dims, on, "n_cells", side=measured, salt_column="__salt")
+    if measured.broadcast:      # a shuffled lookup already placed equal pairs together
         joined = joined.repartition(*on, "__salt")
     ready = joined.sortWithinPartitions(*on).select(*names, "logits", "base", "magnitude", _pair_key())
     step = max(1, _BLOCK_VALUES // (n_samples * size))

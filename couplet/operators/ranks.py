@@ -30,23 +30,29 @@ class Ranked:
 
 
 def ranked_values(df: DataFrame, value: str, keys: Sequence[str] = (), sums: dict[str, Column] | None = None,
-                  weight: Column | None = None, window_rows: int | None = None) -> Ranked:
-    """Rank the distinct values of ``value`` within ``keys`` (NULL values are left out)."""
-    window_rows = window_rows or WINDOW_ROWS
+                  weight: Column | None = None, rows: int | None = None) -> Ranked:
+    """Rank the distinct values of ``value`` within ``keys`` (NULL values are left out).
+
+    ``rows`` is an upper bound on the input rows if the caller has counted them.
+    """
+    window_rows = WINDOW_ROWS
     keys = list(keys)
     sums = sums or {}
     count = F.count(F.lit(1)) if weight is None else F.sum(weight)
     hist = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("value")).agg(
         count.cast("long").alias("n"), *[F.sum(c).alias(name) for name, c in sums.items()])
-    hist = materialise(hist)
-    distinct = hist.count()
+    if rows is not None and rows <= window_rows:
+        distinct = rows
+    else:
+        hist = materialise(hist)
+        distinct = hist.count()
     over = [F.lit(0)] if not keys else [F.col(k) for k in keys]
     if distinct <= window_rows:
         w = Window.partitionBy(*over).orderBy("value")
         before = w.rowsBetween(Window.unboundedPreceding, -1)
-        rows = hist.select("*", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("below"),
-                           (F.row_number().over(w) - 1).cast("long").alias("position"))
-        return Ranked(rows, keys, distinct)
+        ranked = hist.select("*", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("below"),
+                             (F.row_number().over(w) - 1).cast("long").alias("position"))
+        return Ranked(ranked, keys, distinct)
 
     ranges = -(-distinct // window_rows) * 4
     cuts = sorted(set(hist.approxQuantile("value", [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
@@ -62,11 +68,11 @@ def ranked_values(df: DataFrame, value: str, keys: Sequence[str] = (), sums: dic
     shifts = materialise(totals.select(*keys, "range", "__d",
                                        F.coalesce(F.sum("__n").over(lower), F.lit(0)).alias("__shift"),
                                        F.coalesce(F.sum("__d").over(lower), F.lit(0)).alias("__pshift")))
-    rows = lookup_join(local, shifts, [*keys, "range"], "__d", row_bytes=96)
-    rows = rows.select(*[c for c in hist.columns if c != "range"],
-                       (F.col("__below") + F.col("__shift")).alias("below"),
-                       (F.col("__position") + F.col("__pshift")).alias("position"))
-    return Ranked(materialise(rows), keys, distinct)
+    ranked = lookup_join(local, shifts, [*keys, "range"], "__d", row_bytes=96)
+    ranked = ranked.select(*[c for c in hist.columns if c != "range"],
+                           (F.col("__below") + F.col("__shift")).alias("below"),
+                           (F.col("__position") + F.col("__pshift")).alias("position"))
+    return Ranked(materialise(ranked), keys, distinct)
 
 
 def midrank() -> Column:
@@ -83,8 +89,18 @@ def _with_totals(ranked: Ranked) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, value: str, keys: Sequence[str], probs: Sequence[float],
-                    names: Sequence[str], weight: Column | None = None) -> DataFrame:
-    """Linear-interpolation quantiles per key, exact at any group size."""
+                    names: Sequence[str], weight: Column | None = None, rows: int | None = None) -> DataFrame:
+    """Linear-interpolation quantiles per key, exact at any group size.
+
+    A counted small input goes through the built-in percentile, whose buffer holds a group's
+    distinct values; larger ones through distributed ranks.
+    """
+    keys = list(keys)
+    if rows is not None and rows <= WINDOW_ROWS:
+        frequency = F.lit(1).cast("long") if weight is None else weight
+        wanted = F.array(*[F.lit(float(p)) for p in probs])
+        out = df.groupBy(*keys).agg(F.percentile(value, wanted, frequency).alias("__q"))
+        return out.select(*keys, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
     rows = _with_totals(ranked_values(df, value, keys, weight=weight))
     picks = []
     for p, name in zip(probs, names):

@@ -126,7 +126,7 @@ def vector_sum(df: DataFrame, keys: list[str], vectors: dict[str, Column], size:
     rows = sums.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("__pos", *vectors))).alias("__rows")   # `size` entries
     )
-    out = rows.select(*keys, *[F.transform("__rows", lambda r, n=n: r[n]).alias(n) for n in vectors])
+    out = rows.select(*keys, *[F.col("__rows")[n].alias(n) for n in vectors])
     if not extra:
         return out
     side = df.groupBy(*keys).agg(*extra)

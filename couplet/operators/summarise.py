@@ -6,14 +6,14 @@ import itertools
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from couplet.functions.intervals import HDI_PROB, hdi_bounds
 from couplet.functions.sampling import mann_whitney_p
 from couplet.functions.vectors import is_finite, stars, versus
-from couplet.operators.ranks import exact_hdi, exact_quantiles, midrank, ranked_values
+from couplet.operators.ranks import WINDOW_ROWS, exact_hdi, exact_quantiles, midrank, ranked_values
 from couplet.operators.shared import materialise
-from couplet.spec import levels_of
+from couplet.spec import MAX_LEVELS, levels_of
 
 
 def _null() -> Column:
@@ -59,30 +59,36 @@ def collapse_to_replicates(result: DataFrame, *, groupby: str | None, splitby: s
     return result.groupBy(*keys).agg(F.avg(value).alias(value))
 
 
-def across_groups(df: DataFrame, keys: Sequence[str] = (), value: str = "value") -> DataFrame:
-    """Between-replicate mean, sd, 2.5/97.5 percentile (linear) and count over finite values."""
+def across_groups(df: DataFrame, keys: Sequence[str] = (), value: str = "value", rows: int | None = None) -> DataFrame:
+    """Between-replicate mean, sd, 2.5/97.5 percentile (linear) and count over finite values.
+
+    ``rows`` is the number of input rows, if counted.
+    """
     keys = list(keys)
     finite = df.select(*keys, F.when(is_finite(F.col(value)), F.col(value)).alias("__x"))
     finite = finite if keys else finite.withColumn("__all", F.lit(0))
     names = keys or ["__all"]
-    base = finite.groupBy(*names).agg(F.avg("__x").alias("value"), F.stddev_samp("__x").alias("sd"),
-                                      F.count("__x").alias("n_groups"))
-    bounds = exact_quantiles(finite, "__x", names, (0.025, 0.975), ("ci_low", "ci_high"))
-    joined = base.join(bounds, names, "left")
+    moments = [F.avg("__x").alias("value"), F.stddev_samp("__x").alias("sd"), F.count("__x").alias("n_groups")]
+    if rows is not None and rows <= WINDOW_ROWS:
+        ends = F.percentile("__x", F.array(F.lit(0.025), F.lit(0.975)))
+        joined = finite.groupBy(*names).agg(*moments, ends.alias("__q")).select(
+            "*", F.col("__q")[0].alias("ci_low"), F.col("__q")[1].alias("ci_high"))
+    else:
+        bounds = exact_quantiles(finite, "__x", names, (0.025, 0.975), ("ci_low", "ci_high"))
+        joined = finite.groupBy(*names).agg(*moments).join(bounds, names, "left")
     many = F.col("n_groups") > 1
     return joined.select(*keys, "value", F.when(many, F.col("sd")).alias("sd"),
                          F.when(many, F.col("ci_low")).alias("ci_low"),
                          F.when(many, F.col("ci_high")).alias("ci_high"), "n_groups")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _p_value(u: pd.Series, n_a: pd.Series, n_b: pd.Series, ties: pd.Series, alternative: pd.Series) -> pd.Series:
     return pd.Series([mann_whitney_p(*row) for row in zip(u, n_a, n_b, ties, alternative)], dtype="float64")
 
 
-def level_pairs(df: DataFrame, splitby: str, reference: str | None = None) -> list[tuple[str, str]]:
+def level_pairs(levels: list[str], splitby: str, reference: str | None = None) -> list[tuple[str, str]]:
     """All pairs in string order, or the reference against each other level."""
-    levels = levels_of(df, splitby)
     if reference is None:
         return list(itertools.combinations(levels, 2))
     if reference not in levels:
@@ -99,18 +105,23 @@ def _by_pair(df: DataFrame, splitby: str, pairs: list[tuple[str, str]]) -> DataF
 
 
 def compare_groups(df: DataFrame, *, value: str = "value", splitby: str, reference: str | None = None,
-                   alternative: str = "two-sided") -> DataFrame:
-    """Unpaired contrast per level pair: Mann-Whitney U, p, means, ``delta = mean_b - mean_a``, stars."""
+                   alternative: str = "two-sided", levels: list[str] | None = None, rows: int | None = None) -> DataFrame:
+    """Unpaired contrast per level pair: Mann-Whitney U, p, means, ``delta = mean_b - mean_a``, stars.
+
+    ``levels`` and ``rows`` spare a pass where the caller knows them.
+    """
     if alternative not in ("two-sided", "less", "greater"):
         raise ValueError(f"alternative must be 'two-sided', 'less' or 'greater', got {alternative!r}")
     schema = "level_a string, level_b string, n_a long, n_b long, mean_a double, mean_b double, " \
              "delta double, U double, p double, stars string"
-    pairs = level_pairs(df, splitby, reference)
+    levels = levels_of(df, splitby) if levels is None else levels
+    pairs = level_pairs(levels, splitby, reference)
     if not pairs:
         return df.sparkSession.createDataFrame([], schema)
-    rows = _by_pair(df.select(splitby, F.when(is_finite(F.col(value)), F.col(value)).alias("__x")), splitby, pairs)
+    sided = _by_pair(df.select(splitby, F.when(is_finite(F.col(value)), F.col(value)).alias("__x")), splitby, pairs)
     is_a, is_b = (F.col("side") == 0).cast("long"), (F.col("side") == 1).cast("long")
-    ranked = ranked_values(rows, "__x", ["level_a", "level_b"], sums={"a": is_a, "b": is_b}).rows
+    bound = None if rows is None else rows * max(1, len(levels) - 1)
+    ranked = ranked_values(sided, "__x", ["level_a", "level_b"], sums={"a": is_a, "b": is_b}, rows=bound).rows
     v, n = F.col("value"), F.col("n").cast("double")
     test = ranked.groupBy("level_a", "level_b").agg(
         F.sum("a").alias("n_a"), F.sum("b").alias("n_b"),
@@ -139,7 +150,7 @@ def compare_paired(table: DataFrame, *, splitby: str, pair_on: str, value: str =
     Units are matched on ``pair_on`` and draws on their index; differences ``b - a`` of all units
     are pooled. One pooled difference is its own interval.
     """
-    pairs = level_pairs(table, splitby, reference)
+    pairs = level_pairs(levels_of(table, splitby), splitby, reference)
     schema = "level_a string, level_b string, delta double, p_gt double, p_lt double, hdi_low double, hdi_high double"
     if not pairs:
         return table.sparkSession.createDataFrame([], schema)
@@ -162,8 +173,12 @@ def build_stats(result: DataFrame, *, groupby: str | None, splitby: str | None,
     per_group = collapse_to_replicates(result, groupby=groupby, splitby=splitby, value=value)
     per_group = materialise(per_group.where(F.col(splitby).isNotNull())
                             .select(groupby, F.col(splitby).cast("string").alias(splitby), value))
-    contrasts = compare_groups(per_group, value=value, splitby=splitby)
-    arms = materialise(across_groups(per_group, [splitby], value))
+    known = per_group.groupBy(splitby).agg(F.count(F.lit(1)).alias("n")).limit(MAX_LEVELS + 1).collect()
+    if len(known) > MAX_LEVELS:
+        raise ValueError(f"{splitby!r} has more than {MAX_LEVELS} levels; it is not a split label")
+    rows = sum(r["n"] for r in known)
+    contrasts = compare_groups(per_group, value=value, splitby=splitby, levels=sorted(r[0] for r in known), rows=rows)
+    arms = across_groups(per_group, [splitby], value, rows=rows)
     out = contrasts.select("level_a", "level_b", "delta", F.col("U").alias("stat"), "p", "stars")
     for side in ("a", "b"):
         arm = arms.select(F.col(splitby).alias(f"level_{side}"), F.col("value").alias(f"mean_{side}"),

@@ -5,9 +5,9 @@ from __future__ import annotations
 import warnings
 from dataclasses import dataclass, field, replace as _replace
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from couplet.operators.shared import WIDE_AGGREGATE, lookup_join, materialise
+from couplet.operators.shared import WIDE_AGGREGATE, LookupSide, lookup_join, materialise, measure_side
 
 # Category lists live on the driver and in plans; more levels than this is a wrong column choice.
 MAX_LEVELS = 10_000
@@ -153,76 +153,94 @@ class Study:
         return self._stages[key]
 
     def _build_counts(self, groupby, splitby) -> DataFrame:
+        base_key = ("counts", None, None)
+        if groupby is None:
+            return materialise(count_table(self.cells, self.phenotypes, [CLONE, COVARIATE]))
+        labels = [c for c in (groupby, splitby) if c is not None]
+        if any(c in self.cells.columns for c in labels):
+            ct = self._labelled_from_cells(groupby, splitby)
+        else:
+            base = self._stages.get(base_key)
+            if base is None:
+                base = count_table(self.cells, self.phenotypes, [CLONE, COVARIATE])
+            per_clone = self.clone_labels.where(F.col(CLONE).isNotNull()).groupBy(CLONE).agg(
+                *_label_ranges(groupby, splitby))
+            ct = base.join(per_clone, CLONE, "left").withColumn(
+                "n_unlabelled", F.when(F.col("grp").isNull(), F.col("n_cells")).otherwise(F.lit(0).cast("long")))
+        ct = materialise(ct)
+        self._stages.setdefault(base_key, ct.select(CLONE, COVARIATE, "n_cells", "counts"))
+        fill = self._check_labels(ct, groupby, splitby)
+        columns = [CLONE, COVARIATE, "n_cells", "counts", "grp"]
+        if splitby is None:
+            return ct.select(*columns)
+        if not fill:
+            return ct.select(*columns, F.col("split_high").alias("split"))
+        # some clones carry no split label of their own: take it from their group
+        groups = materialise(ct.where("grp is not null").groupBy("grp").agg(
+            F.max("split_high").alias("split"), F.count(F.lit(1)).alias("__rows")))
+        return materialise(lookup_join(ct.select(*columns), groups, ["grp"], "__rows", keep_unmatched=True).drop("__rows"))
+
+    def _labelled_from_cells(self, groupby, splitby) -> DataFrame:
+        """Counts per pair with label ranges, labels being columns of the cells.
+
+        The cell pass is one hash aggregate with the labels as keys; label ranges are taken on
+        its much smaller output.
+        """
+        size = self.size
         labels = [c for c in (groupby, splitby) if c is not None]
         in_cells = [c for c in labels if c in self.cells.columns]
+        ct = count_table(self.cells, self.phenotypes, [CLONE, COVARIATE, *in_cells])
         from_map = [c for c in labels if c not in in_cells]
-        base_key = ("counts", None, None)
-        if not in_cells and base_key in self._stages:
-            ct = self._stages[base_key]
-        else:
-            ct = count_table(self.cells, self.phenotypes, [CLONE, COVARIATE, *in_cells])
-            if not in_cells:
-                ct = self._stages.setdefault(base_key, materialise(ct))
-        if not labels:
-            return ct
         if from_map:
             ct = ct.join(self.clone_labels.select(CLONE, *from_map), CLONE, "left")
-        g = F.col(groupby)
-        label_cols = [F.min(g).alias("grp_low"), F.max(g).alias("grp_high"),
-                      F.sum(F.when(g.isNull(), F.col("n_cells")).otherwise(0)).alias("n_unlabelled")]
-        if splitby is not None:
-            s = F.when(g.isNotNull(), F.col(splitby))
-            label_cols += [F.min(s).alias("split_low"), F.max(s).alias("split_high")]
-        size = self.size
+        unlabelled = F.sum(F.when(F.col(groupby).isNull(), F.col("n_cells")).otherwise(0)).alias("n_unlabelled")
+        if size <= WIDE_AGGREGATE:
+            sums = [F.sum(F.col("counts")[j]).alias(f"c{j}") for j in range(size)]
+            counts = F.array(*[F.col(f"c{j}") for j in range(size)])
+        else:
+            sums = [F.collect_list("counts").alias("__parts")]      # one row per label combination
+            counts = F.aggregate("__parts", F.array_repeat(F.lit(0.0), size),
+                                 lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
         merged = ct.groupBy(CLONE, COVARIATE).agg(
-            F.sum("n_cells").alias("n_cells"),
-            *([F.sum(F.col("counts")[j]).alias(f"c{j}") for j in range(size)] if size <= WIDE_AGGREGATE
-              else [F.collect_list("counts").alias("__parts")]),
-            *label_cols,
-        )
-        counts = (F.array(*[F.col(f"c{j}") for j in range(size)]) if size <= WIDE_AGGREGATE
-                  else F.aggregate("__parts", F.array_repeat(F.lit(0.0), size),
-                                   lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b)))
+            F.sum("n_cells").alias("n_cells"), *sums, unlabelled, *_label_ranges(groupby, splitby))
         per_clone = Window.partitionBy(CLONE)       # at most one row per covariate level
-        merged = merged.select(
+        return merged.select(
             CLONE, COVARIATE, "n_cells", counts.alias("counts"), "n_unlabelled",
-            F.min("grp_low").over(per_clone).alias("grp_low"),
-            F.max("grp_high").over(per_clone).alias("grp"),
-            *(["split_low", "split_high"] if splitby is not None else []),
-        )
-        ct = materialise(merged)
-        self._check_labels(ct, groupby, splitby)
-        if splitby is None:
-            return ct.select(CLONE, COVARIATE, "n_cells", "counts", "grp")
-        groups = materialise(ct.where("grp is not null").groupBy("grp").agg(
-            F.max("split_high").alias("split"), F.count(F.lit(1)).alias("__rows")))
-        labelled = lookup_join(ct.select(CLONE, COVARIATE, "n_cells", "counts", "grp").where("grp is not null"),
-                               groups, ["grp"], "__rows")
-        unlabelled = ct.where("grp is null").select(CLONE, COVARIATE, "n_cells", "counts", "grp") \
-            .withColumn("split", F.lit(None).cast(groups.schema["split"].dataType))
-        return materialise(labelled.drop("__rows").unionByName(unlabelled))
-
-    def _check_labels(self, ct: DataFrame, groupby: str, splitby: str | None) -> None:
-        spanning = ct.where(F.col("grp_low") != F.col("grp")).limit(1).collect()
-        if spanning:
-            r = spanning[0]
+            F.min("grp_low").over(per_clone).alias("grp_low"), F.max("grp").over(per_clone).alias("grp"),
+            *(["split_low", "split_high"] if splitby is not None else []))
+
+    def _check_labels(self, ct: DataFrame, groupby: str, splitby: str | None) -> bool:
+        """Disjoint clones, constant split per group, warning on unlabelled cells: one job.
+
+        Returns whether a clone of a labelled group lacks its own split label.
+        """
+        per_group = ct.groupBy("grp").agg(
+            F.count_if(F.col("grp_low") != F.col("grp")).alias("spanning"),
+            F.sum("n_unlabelled").alias("missing"), F.sum("n_cells").alias("cells"),
+            *([F.min("split_low").alias("lo"), F.max("split_high").alias("hi"),
+               F.count_if(F.col("split_high").isNull()).alias("bare")] if splitby is not None else []))
+        known = F.col("grp").isNotNull()
+        found = per_group.agg(
+            F.sum("spanning").alias("spanning"), F.sum("missing").alias("missing"), F.sum("cells").alias("cells"),
+            *([F.count_if(known & (F.col("lo") != F.col("hi"))).alias("mixed"),
+               F.count_if(known & F.col("hi").isNotNull() & (F.col("bare") > 0)).alias("bare")] if splitby is not None else []),
+        ).first()
+        if found["spanning"]:
+            r = ct.where(F.col("grp_low") != F.col("grp")).limit(1).collect()[0]
             raise ValueError(
                 f"groupby={groupby!r}: clonotype {r[CLONE]!r} spans groups {r['grp_low']!r} and "
                 f"{r['grp']!r}; clones must be disjoint across groups")
-        if splitby is not None:
-            bad = ct.where("grp is not null").groupBy("grp").agg(
-                F.min("split_low").alias("lo"), F.max("split_high").alias("hi")
-            ).where("lo <> hi").orderBy("grp").limit(5).collect()
-            if bad:
-                raise ValueError(
-                    f"splitby={splitby!r} is not constant within groupby={groupby!r}: "
-                    f"{[r['grp'] for r in bad]} span multiple values")
-        missing = ct.agg(F.sum("n_unlabelled").alias("m"), F.sum("n_cells").alias("n")).first()
-        if missing["m"]:
+        if splitby is not None and found["mixed"]:
+            bad = per_group.where(known & (F.col("lo") != F.col("hi"))).orderBy("grp").limit(5).collect()
+            raise ValueError(
+                f"splitby={splitby!r} is not constant within groupby={groupby!r}: "
+                f"{[r['grp'] for r in bad]} span multiple values")
+        if found["missing"]:
             warnings.warn(
-                f"groupby={groupby!r}: {missing['m']} of {missing['n']} cells "
-                f"({100 * missing['m'] / missing['n']:.1f}%) have no group label and are excluded",
+                f"groupby={groupby!r}: {found['missing']} of {found['cells']} cells "
+                f"({100 * found['missing'] / found['cells']:.1f}%) have no group label and are excluded",
                 UserWarning, stacklevel=4)
+        return bool(splitby is not None and found["bare"])
 
     # -- posterior and evidence ---------------------------------------------------------------
 
@@ -252,8 +270,8 @@ class Study:
         study = self.replace(gate=gate, classifier_temperature=classifier_temperature)
         return _replace(study, cells=cells)
 
-    def dims(self, groupby: str | None = None, splitby: str | None = None) -> DataFrame:
-        """Posterior rows with cell counts and labels: the lookup side of the cell fold."""
+    def dims(self, groupby: str | None = None, splitby: str | None = None) -> tuple[DataFrame, LookupSide]:
+        """Posterior rows with cell counts and labels (the lookup side of the cell fold), and its size."""
         if self.posterior is None:
             raise RuntimeError("no posterior attached: estimate one or import it with with_posterior")
         key = ("dims", groupby, splitby)
@@ -262,11 +280,22 @@ class Study:
             labels = [c for c in ("grp", "split") if c in ct.columns]
             fitted = [c for c in ("p", "conc") if c in self.posterior.columns]
             ct = ct.select(CLONE, COVARIATE, "n_cells", *labels)
+            side = measure_side(ct, "n_cells", 160 + 24 * self.size)
             joined = self.posterior.select(CLONE, COVARIATE, *fitted).join(ct, [CLONE, COVARIATE])
-            self._stages[key] = materialise(joined)
+            self._stages[key] = (joined if side.broadcast else materialise(joined), side)
         return self._stages[key]
 
 
+def _label_ranges(groupby: str, splitby: str | None) -> list[Column]:
+    """Smallest and largest label; a split label counts only where the group is known."""
+    g = F.col(groupby)
+    out = [F.min(g).alias("grp_low"), F.max(g).alias("grp")]
+    if splitby is not None:
+        s = F.when(g.isNotNull(), F.col(splitby))
+        out += [F.min(s).alias("split_low"), F.max(s).alias("split_high")]
+    return out
+
+
 def count_table(cells: DataFrame, levels, keys: list[str]) -> DataFrame:
     """Cells per key and phenotype as one dense vector in level order (zero-filled)."""
     cells = cells.where(F.col(CLONE).isNotNull() & F.col(COVARIATE).isNotNull()) \
