@@ -8,35 +8,40 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from couplet.functions.vectors import DISTANCE_EPS, at_least, each, fold, total
+from couplet.functions.vectors import DISTANCE_EPS, at_least, each, fold, let, total
 
 
-def _pair(p: Column, q: Column, size: int, eps: float):
-    p = each(size, lambda x: at_least(x, eps), p)
-    q = each(size, lambda x: at_least(x, eps), q)
-    return p, q, total(p, size), total(q, size)
+def _clipped(p: Column, size: int, eps: float) -> Column:
+    return each(size, lambda x: at_least(x, eps), p)
+
+
+def _rescaled_pair(p: Column, q: Column, size: int, body: Callable[[Column, Column], Column]) -> Column:
+    """``body(p, q)`` on clipped vectors rescaled to sum 1, each evaluated once."""
+    def unit(v: Column) -> Column:
+        return let(_clipped(v, size, DISTANCE_EPS), lambda c: let(total(c, size), lambda s: each(size, lambda x: x / s, c)))
+
+    pair = F.struct(unit(p).alias("p"), unit(q).alias("q"))
+    defined = F.when(p.isNotNull() & q.isNotNull(), pair)
+    return let(defined, lambda t: body(t["p"], t["q"]))
 
 
 def kl_divergence(p: Column, q: Column, size: int, eps: float = DISTANCE_EPS) -> Column:
-    """KL(p || q) after both sides are clipped and rescaled."""
-    p, q, sp, sq = _pair(p, q, size, eps)
+    """KL(p || q) after both sides are clipped and rescaled; plain sums, so it stays compiled."""
+    p, q = _clipped(p, size, eps), _clipped(q, size, eps)
+    sp, sq = total(p, size), total(q, size)
     return fold(size, lambda a, b: a * F.log2(a / b), p, q) / sp - F.log2(sp / sq)
 
 
 def l1_distance(p: Column, q: Column, size: int) -> Column:
-    p, q, sp, sq = _pair(p, q, size, DISTANCE_EPS)
-    return fold(size, lambda a, b: F.abs(a / sp - b / sq), p, q)
+    return _rescaled_pair(p, q, size, lambda a, b: fold(size, lambda x, y: F.abs(x - y), a, b))
 
 
 def jensen_shannon(p: Column, q: Column, size: int) -> Column:
-    p, q, sp, sq = _pair(p, q, size, DISTANCE_EPS)
-
-    def half(a: Column, b: Column) -> Column:
-        x, y = a / sp, b / sq
+    def half(x: Column, y: Column) -> Column:
         m = (x + y) * 0.5
         return (x * F.log2(x / m) + y * F.log2(y / m)) * 0.5
 
-    return fold(size, half, p, q)
+    return _rescaled_pair(p, q, size, lambda a, b: fold(size, half, a, b))
 
 
 # Accepted distance names.

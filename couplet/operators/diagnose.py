@@ -14,7 +14,7 @@ from couplet.functions.vectors import argmax_label, normalise, total
 from couplet.operators.joint import joint_table, pick_seed
 from couplet.operators.metrics import check_mode, from_terms, information_terms
 from couplet.operators.ranks import exact_quantiles
-from couplet.operators.shared import clone_filter, materialise
+from couplet.operators.shared import clone_filter, materialise, task_count
 from couplet.spec import CLONE, COVARIATE, PHENOTYPE, Study
 
 
@@ -117,6 +117,7 @@ def compare_count_tables(observed: DataFrame, simulated: DataFrame, *, sim: str
 
 BLOCK_CLONES = 20_000
 PERMUTATIONS_PER_TASK = 100
+TASK_SHUFFLED_CELLS = 1e7
 
 
 def permutation_null(study: Study, *, metric: str = "mutual_information", covariate=None, groupby=None,
@@ -147,8 +148,9 @@ def permutation_null(study: Study, *, metric: str = "mutual_information", covari
     if n_perm <= 0:
         raise ValueError("n_perm must be positive")
 
-    most = terms.agg(F.max("n_clones").alias("m")).first()["m"] or 1
-    n_blocks = -(-int(most) // block_clones)
+    cells = sum((F.col(f"__k{j}") for j in range(size)), F.lit(0.0))
+    scale = terms.agg(F.max("n_clones").alias("clones"), F.sum(cells).alias("cells")).first()
+    n_blocks = -(-int(scale["clones"] or 1) // block_clones)
     sizes = ct.select(*keys, F.pmod(F.xxhash64(CLONE), F.lit(n_blocks)).cast("int").alias("block"),
                       total(F.col("mass"), size).cast("long").alias("n")).where("n > 0")
     blocks = sizes.groupBy(*keys, "block").agg(F.collect_list("n").alias("sizes"),   # about block_clones entries
@@ -161,7 +163,8 @@ def permutation_null(study: Study, *, metric: str = "mutual_information", covari
     work = blocks.join(strata, keys).select(
         *keys, "block", "sizes", "totals", "margin", F.xxhash64(*keys).alias("stratum"),
         F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("chunk"))
-    work = work.repartition(*keys, "block", "chunk")
+    tasks = task_count(study.spark, float(scale["cells"] or 0) * n_perm, TASK_SHUFFLED_CELLS)
+    work = work.repartition(tasks, *keys, "block", "chunk")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -7,10 +7,10 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, Normalizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from couplet.functions.vectors import BASE_EPS, argmax_label, each, fold
-from couplet.operators.joint import combine_weights, softmax_rows
+from couplet.functions.vectors import BASE_EPS, argmax_label, each, fold, softmax
+from couplet.operators.joint import combine_weights
 from couplet.operators.metrics import check_mode, information_by
 from couplet.operators.shared import lookup_join
 from couplet.spec import CLONE, COVARIATE, PHENOTYPE, Study, count_table, levels_of
@@ -63,14 +63,21 @@ def _cells_with_base(study: Study, cells: DataFrame | None) -> DataFrame:
 
 
 def predict(study: Study, cells: DataFrame | None = None) -> DataFrame:
-    """Cells with ``probs``: softmax of the gated (or additive) sum of logits and ``log p``."""
-    size = study.size
-    logit_weight, base_weight = combine_weights(study.gate, 1.0)
+    """Cells with ``probs``: softmax of the gated (or additive) sum of logits and ``log p``.
+
+    The formula is kept in its bound form because callers filter on what they derive from it.
+    """
     joined = _cells_with_base(study, cells)
     keep = [c for c in joined.columns if c not in ("__p", "probs")]
+    return joined.select(*keep, _probabilities(study).alias("probs"))
+
+
+def _probabilities(study: Study) -> Column:
+    size = study.size
+    logit_weight, base_weight = combine_weights(study.gate, 1.0)
     x = each(size, lambda l, p: l * logit_weight + F.ln(p + F.lit(BASE_EPS)) * base_weight,
              F.col("logits"), F.col("__p"))
-    return softmax_rows(joined.select(*keep, x.alias("__x")), keep, "__x", "probs", size)
+    return softmax(x, size)
 
 
 def log_posterior(study: Study, cells: DataFrame | None = None) -> DataFrame:
@@ -87,25 +94,17 @@ def hard_labels(df: DataFrame, phenotypes, probs: str = "probs", out: str = "pre
 
 def score_cells(study: Study) -> DataFrame:
     """Cells with ``probs``, ``log_posterior`` and ``predicted``, from one lookup."""
-    size = study.size
-    logit_weight, base_weight = combine_weights(study.gate, 1.0)
     joined = _cells_with_base(study, None)
-    joined = joined.withColumn("__log", each(size, lambda p: F.ln(p + F.lit(BASE_EPS)), F.col("__p")))
-    joined = joined.withColumn("log_posterior", each(size, lambda l, b: l + b, F.col("logits"), F.col("__log")))
-    keep = [c for c in joined.columns if c not in ("__p", "__log", "probs")]
-    x = each(size, lambda l, b: l * logit_weight + b * base_weight, F.col("logits"), F.col("__log"))
-    scored = softmax_rows(joined.select(*keep, x.alias("__x")), keep, "__x", "probs", size)
+    keep = [c for c in joined.columns if c not in ("__p", "probs")]
+    additive = each(study.size, lambda l, p: l + F.ln(p + F.lit(BASE_EPS)), F.col("logits"), F.col("__p"))
+    scored = joined.select(*keep, additive.alias("log_posterior"), _probabilities(study).alias("probs"))
     return hard_labels(scored, study.phenotypes)
 
 
 def evidence_summary(study: Study) -> DataFrame:
     """One row: mean KL(prior || probs) in nats, mean entropy in nats, mean ``sum of p**2``."""
     size = study.size
-    logit_weight, base_weight = combine_weights(study.gate, 1.0)
-    joined = _cells_with_base(study, None).select("__p", each(
-        size, lambda l, p: l * logit_weight + F.ln(p + F.lit(BASE_EPS)) * base_weight,
-        F.col("logits"), F.col("__p")).alias("__x"))
-    rows = softmax_rows(joined, ["__p"], "__x", "__q", size)
+    rows = _cells_with_base(study, None).select("__p", _probabilities(study).alias("__q"))
     kl = fold(size, lambda p, q: F.when((p > 0) & (q > 0), p * F.ln(p / q)).otherwise(F.lit(0.0)), F.col("__p"), F.col("__q"))
     entropy = fold(size, lambda q: -q * F.ln(q + F.lit(BASE_EPS)), F.col("__q"))
     confidence = fold(size, lambda q: q * q, F.col("__q"))

@@ -18,11 +18,15 @@ from couplet.functions.sampling import dirichlet_draws, fold_cells
 from couplet.functions.vectors import (
     BASE_EPS, UNROLL, at_least, each, log_base, sanitize, temper_base, total,
 )
-from couplet.operators.shared import LookupSide, clone_filter, in_requested_order, lookup_join, vector_sum
+from couplet.operators.shared import (
+    LookupSide, clone_filter, in_requested_order, lookup_join, task_count, vector_sum,
+)
 from couplet.spec import CLONE, COVARIATE, PHENOTYPE, Study
 
 MAGNITUDE_FLOOR = 1e-6  # Fixed value: smallest total concentration.
-_BLOCK_VALUES = 2_000_000
+_BLOCK_VALUES = 2_000_000   # draw values held at once by a task
+_TASK_VALUES = 1e8          # cell x draw x phenotype values folded by a task
+_TASK_DRAWS = 2e6           # draw values generated by a task
 
 
 def pick_seed(random_state: int | None) -> int:
@@ -77,7 +81,8 @@ def partials(study: Study, *, covariates: list[str] | None = None, groupby: str
             part = each(study.size, lambda x: x * scale, F.col("base"))
             return dims.select(COVARIATE, CLONE, *label_columns(dims), F.lit(0).alias("draw"),
                                part.alias("part"))
-        drawn = _draw_rows(dims, study.size, n_samples, seed)
+        tasks = task_count(study.spark, float(measured.rows) * n_samples * study.size, _TASK_DRAWS)
+        drawn = _draw_rows(dims.repartition(tasks, CLONE, COVARIATE), study.size, n_samples, seed)
         part = each(study.size, lambda x: x * scale, F.col("part"))
         return drawn.select(COVARIATE, CLONE, *label_columns(dims), "draw", part.alias("part"))
 
@@ -184,7 +189,8 @@ def _fold_draws(study: Study, cells: DataFrame, dims: DataFrame, measured: Looku
     on = [CLONE, COVARIATE]
     joined = lookup_join(cells, dims, on, "n_cells", side=measured, salt_column="__salt")
     if measured.broadcast:      # a shuffled lookup already placed equal pairs together
-        joined = joined.repartition(*on, "__salt")
+        tasks = task_count(study.spark, float(measured.fact_rows) * n_samples * size, _TASK_VALUES)
+        joined = joined.repartition(tasks, *on, "__salt")
     ready = joined.sortWithinPartitions(*on).select(*names, "logits", "base", "magnitude", _pair_key())
     step = max(1, _BLOCK_VALUES // (n_samples * size))
 

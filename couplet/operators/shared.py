@@ -29,6 +29,11 @@ def stage_folder(spark: SparkSession) -> str:
     return folder
 
 
+def task_count(spark: SparkSession, work: float, per_task: float) -> int:
+    """Tasks for compute-heavy rows: their bytes say nothing about their cost, so AQE must not merge them."""
+    return int(min(100_000, max(spark.sparkContext.defaultParallelism, work // per_task + 1)))
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a stage table and read it back.
 

@@ -425,7 +425,7 @@ def oracles() -> dict[str, str]:
                round(hdi_low, {R}) AS hdi_low, round(hdi_high, {R}) AS hdi_high FROM hdi"""
     out["collapse_replicates"] = _with(*counts, _entropy_p(True)) + \
         f"SELECT nation, covariate, round(avg(h), {R}) AS value FROM ent WHERE covariate = 'pre' GROUP BY ALL"
-    out["draw_summary"] = "WITH d AS (SELECT o_custkey AS clonotype, o_totalprice AS value FROM orders)," + _hdi("d", "clonotype", f"""
+    out["draw_summary"] = "WITH d AS (SELECT o_custkey AS clonotype, o_totalprice / 970.0 AS value FROM orders)," + _hdi("d", "clonotype", f"""
         SELECT clonotype, round(mean, {R}) AS value, round(sd, {R}) AS sd,
                CASE WHEN n > 1 THEN round(hdi_low, {R}) END AS hdi_low, CASE WHEN n > 1 THEN round(hdi_high, {R}) END AS hdi_high FROM hdi""")
     out["hdi_totalprice"] = """WITH d AS (SELECT n_name AS nation, o_totalprice AS value FROM orders JOIN customer ON o_custkey = c_custkey
@@ -444,7 +444,7 @@ def oracles() -> dict[str, str]:
     out["shrink_two_archetypes"] = _two_archetypes()
     out["sharpen_posterior"] = _with(CT, FIT).rstrip() + f""",
         mag AS (SELECT *, greatest(sum(conc) OVER (PARTITION BY clonotype, covariate), 1e-6) AS g FROM fit),
-        pw AS (SELECT *, greatest(pow(conc / g, 2), 1e-8) AS d, pow(conc, 2) AS r FROM mag),
+        pw AS (SELECT *, greatest(pow(conc / g, 1 / 0.6), 1e-8) AS d, pow(conc, 1 / 0.6) AS r FROM mag),
         sh AS (SELECT clonotype, covariate, j, r / sum(r) OVER (PARTITION BY clonotype, covariate) AS p,
                       greatest(g * d / sum(d) OVER (PARTITION BY clonotype, covariate), 1e-3) AS conc FROM pw)
         SELECT clonotype, covariate, {both} FROM sh GROUP BY clonotype, covariate"""

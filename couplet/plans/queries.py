@@ -532,7 +532,7 @@ def collapse_replicates(spark, sf):
 @query
 def draw_summary(spark, sf):
     """Mean, sd and HDI of short value arrays: order totals per customer."""
-    rows = views.read(spark, sf, "orders").select(F.col("o_custkey").alias(CLONE), F.col("o_totalprice").alias("value"))
+    rows = views.read(spark, sf, "orders").select(F.col("o_custkey").alias(CLONE), (F.col("o_totalprice") / 970.0).alias("value"))
     return summarise.summarise_draws(rows, [CLONE])
 
 
@@ -605,7 +605,7 @@ def shrink_fitted_archetypes(spark, sf):
 @query
 def sharpen_posterior(spark, sf):
     study = fitted_orders(spark, sf)
-    out = estimate.sharpen(study.posterior, len(PRIORITIES), 0.5)
+    out = estimate.sharpen(study.posterior, len(PRIORITIES), 0.6)
     return _spread(_spread(out, "p", PRIORITIES, "p"), "conc", PRIORITIES, "conc")
 
 
