@@ -19,7 +19,7 @@ from couplet.functions.vectors import (
     BASE_EPS, UNROLL, at_least, each, log_base, sanitize, temper_base, total,
 )
 from couplet.operators.shared import (
-    LookupSide, clone_filter, in_requested_order, lookup_join, task_count, vector_sum,
+    SHORT_LIST, LookupSide, clone_filter, in_requested_order, lookup_join, task_count, vector_sum,
 )
 from couplet.spec import CLONE, COVARIATE, PHENOTYPE, Study
 
@@ -87,7 +87,9 @@ def partials(study: Study, *, covariates: list[str] | None = None, groupby: str
         return drawn.select(COVARIATE, CLONE, *label_columns(dims), "draw", part.alias("part"))
 
     cells = _restrict(study.cells.select(
-        CLONE, COVARIATE, *[c for c in ("cell_id",) if c in study.cells.columns], "logits"), wanted, clones)
+        CLONE, COVARIATE, *[c for c in ("cell_id",) if c in study.cells.columns], "logits"), wanted,
+        # a long clone list already limits the lookup side; filtering cells by it would shuffle them by clone
+        clones if isinstance(clones, (list, tuple)) and len(clones) <= SHORT_LIST else None)
     logit_weight, base_weight = combine_weights(study.gate, temperature)
     if n_samples == 0:
         return _fold_native(study, cells, dims, measured, logit_weight, base_weight)

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 BROADCAST_BYTES = 64 * 1024 * 1024
 # A key is "hot" when it holds more than 1/HOT_SHARE of all rows, so there are < HOT_SHARE of them.
 HOT_SHARE = 512
+# Clone lists up to this length become a plain predicate.
+SHORT_LIST = 200
 # Widest aggregate that is written as one expression per slot.
 WIDE_AGGREGATE = 128
 
@@ -148,7 +150,7 @@ def clone_filter(df: DataFrame, clones, column: str = "clonotype") -> DataFrame:
         wanted = clones.select(F.col(clones.columns[0]).alias(column)).distinct()
         return df.join(wanted, column, "left_semi")
     wanted = list(clones)
-    if len(wanted) <= 200:
+    if len(wanted) <= SHORT_LIST:
         return df.where(F.col(column).isin(wanted))
     kind = df.schema[column].dataType.simpleString()
     listed = df.sparkSession.createDataFrame([(c,) for c in wanted], f"`{column}` {kind}").distinct()

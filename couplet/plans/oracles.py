@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from couplet.plans.queries import TWO_ARCHETYPES
-from couplet.plans.views import PRIORITIES
+from couplet.plans.views import EVENT_TYPES, PRIORITIES
 
 R = 8  # digits, as in the queries
 
@@ -315,6 +315,13 @@ def oracles() -> dict[str, str]:
         SELECT o_orderkey, trb_candidate, CASE WHEN count(*) OVER (PARTITION BY trb_candidate) < 10
                THEN 'Singleton_' || nation ELSE trb_candidate END AS trb_unique FROM named"""
     out["scope_clones"] = f"WITH {CELLS} SELECT clonotype || '@' || nation AS scoped, count(*) AS n_cells FROM cells GROUP BY ALL"
+    out["union_blocks"] = """SELECT phenotype, count(*) AS n_cells, count(p) AS n_priced, count(v) AS n_valued FROM (
+        SELECT o_orderpriority AS phenotype, o_totalprice AS p, NULL AS v FROM orders
+        UNION ALL SELECT event_type, NULL, value FROM events) GROUP BY phenotype"""
+    out["label_vectors"] = f"""WITH c AS (SELECT user_id AS clonotype, {", ".join(
+        f"CAST(count(*) FILTER (event_type = '{x}') AS DOUBLE) AS v_{j}" for j, x in enumerate(EVENT_TYPES))} FROM events GROUP BY user_id)
+        SELECT *, round(greatest(v_0, v_1, v_2, v_3, v_4) + ln({" + ".join(
+        f"exp(v_{j} - greatest(v_0, v_1, v_2, v_3, v_4))" for j in range(5))}), {R}) AS lse FROM c"""
     modal = f"""WITH {CELLS}, tally AS (SELECT clonotype, phenotype, count(*) AS n FROM cells GROUP BY ALL),
         modal AS (SELECT clonotype, phenotype AS modal_phenotype, n AS n_modal FROM tally
                   QUALIFY row_number() OVER (PARTITION BY clonotype ORDER BY n DESC, phenotype) = 1)"""

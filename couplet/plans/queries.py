@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from couplet.functions.distances import jensen_shannon, kl_divergence, l1_distance
-from couplet.functions.vectors import log_gamma, temper_power, temper_prior
+from couplet.functions.vectors import log_gamma, log_sum_exp, temper_power, temper_prior, vector_from_counts
 from couplet.operators import auc, diagnose, estimate, evidence, frames, joint, metrics, preprocess, ranks, summarise
 from couplet.operators.shared import stage_folder
 from couplet.plans import views
@@ -137,6 +137,26 @@ def scope_clones(spark, sf):
     return out.groupBy("scoped").agg(F.count(F.lit(1)).alias("n_cells"))
 
 
+@query
+def union_blocks(spark, sf):
+    """Cells of two sources stacked by name, each lacking a column of the other."""
+    orders = views.read(spark, sf, "orders").select(F.col("o_custkey").alias(CLONE), F.col("o_orderpriority").alias(PHENOTYPE), "o_totalprice")
+    events = views.read(spark, sf, "events").select(F.col("user_id").alias(CLONE), F.col("event_type").alias(PHENOTYPE), "value")
+    out = tables.union_cells(orders, events)
+    return out.groupBy(PHENOTYPE).agg(F.count(F.lit(1)).alias("n_cells"), F.count("o_totalprice").alias("n_priced"),
+                                      F.count("value").alias("n_valued"))
+
+
+@query
+def label_vectors(spark, sf):
+    """Dense vectors from label counts, missing labels filled with 0, and their log-sum-exp."""
+    rows = views.read(spark, sf, "events").groupBy(F.col("user_id").alias(CLONE), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    packed = rows.groupBy(CLONE).agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
+    dense = packed.select(CLONE, vector_from_counts(F.col("m"), views.EVENT_TYPES).alias("v"))
+    size = len(views.EVENT_TYPES)
+    return _spread(dense.withColumn("lse", log_sum_exp(F.col("v"), size)), "v", views.EVENT_TYPES, "v")
+
+
 @query
 def modal_phenotype(spark, sf):
     return preprocess.modal_phenotype(orders_study(spark, sf)).select(CLONE, "modal_phenotype", "n_modal")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from couplet.functions.vectors import fold, is_finite, total
+from couplet.functions.vectors import is_finite, total
 from couplet.spec import CLONE, COVARIATE, PHENOTYPE, Study
 
 
@@ -15,6 +15,16 @@ def load_cells(spark: SparkSession, path: str, format: str = "parquet", **option
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floating}) if floating else df
 
 
+def union_cells(*blocks: DataFrame) -> DataFrame:
+    """Stack cell tables by column name; columns missing from a block are NULL there."""
+    if not blocks:
+        raise ValueError("union_cells needs at least one table")
+    out = blocks[0]
+    for block in blocks[1:]:
+        out = out.unionByName(block, allowMissingColumns=True)
+    return out
+
+
 def check_posterior(study: Study, tolerance: float = 1e-6) -> None:
     """Vector lengths, signs and sums of the pair table; every observed pair must be covered.
 
