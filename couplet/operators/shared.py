@@ -98,8 +98,10 @@ def lookup_join(facts: DataFrame, dim: DataFrame, on: list[str], weight: str, ro
     packed = dim.select(*on, F.struct(*payload).alias("__dim"), F.col(weight).alias("__w"))
     hot = packed.where(F.col("__w") > side.hot_limit) \
         .select(*on, F.col("__dim").alias("__hot"), F.col("__w").alias("__hot_w"))
-    cold = packed.where(F.col("__w") <= side.hot_limit) \
-        .select(*on, "__dim", F.lit(0).cast("long").alias(salt))
+    # The cold salt is always 0 but must not be a literal: the optimizer would fold it out of the
+    # join keys, and hot rows would then be shuffled by the bare key into one partition.
+    is_hot = F.col("__w") > side.hot_limit
+    cold = packed.where(~is_hot).select(*on, "__dim", F.when(is_hot, 1).otherwise(0).cast("long").alias(salt))
     routed = facts.join(F.broadcast(hot), on, "left").withColumn(
         salt, F.coalesce(salt_of(F.col("__hot_w"), side, content), F.lit(0).cast("long")))
     joined = routed.join(cold, [*on, salt], "left")

@@ -103,6 +103,13 @@ def test_salted_lookup_keeps_every_row_once(spark, monkeypatch):
     assert len(inner) == facts.where("k <> 7").count() == len({r["id"] for r in inner})
     left = shared.lookup_join(facts, dim, ["k"], "n", keep_unmatched=True).collect()
     assert len(left) == 3000 and all((r["n"] is None) == (r["k"] == 7) for r in left)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = shared.lookup_join(facts, dim, ["k"], "n")._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # the shuffle of the facts carries the salt, so a hot key is spread over partitions
+    assert "__salt" in plan.split("Physical Plan")[1].split("SortMergeJoin")[1].split("]")[0]
     salts = shared.lookup_join(facts, dim, ["k"], "n", salt_column="s").where("k = 0").select("s").distinct().count()
     assert salts > 1
 
