@@ -9,7 +9,7 @@ HDI_PROB = 0.94  # Fixed value: default mass of the interval.
 
 def hdi_bounds(values: Column, prob: float = HDI_PROB) -> Column:
     """``struct(low, high)`` of the narrowest window spanning ``max(1, floor(prob*n))`` steps."""
-    s = F.array_sort(values)
+    s = F.sort_array(values)
     n = F.size(s)
     inc = F.greatest(F.lit(1), F.floor(n * F.lit(float(prob))).cast("int"))
     windows = F.transform(
