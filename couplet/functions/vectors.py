@@ -7,6 +7,7 @@ are correct for any length but interpreted. Undefined results are NULL, never Na
 
 from __future__ import annotations
 
+import math
 import operator
 from collections.abc import Callable
 from functools import reduce
@@ -190,15 +191,15 @@ def log_gamma(x: Column) -> Column:
 
 
 def dirichlet_multinomial(counts: Column, alpha: list[float]) -> Column:
-    """Log evidence of a count vector under ``Dir(alpha)``, without the multinomial coefficient."""
-    size = len(alpha)
-    a = literal_vector(alpha)
-    a_sum = F.lit(float(sum(alpha)))
-    n = total(counts, size)
-    return (
-        log_gamma(a_sum) - log_gamma(a_sum + n)
-        + fold(size, lambda c, al: log_gamma(c + al) - log_gamma(al), counts, a)
-    )
+    """Log evidence of a count vector under ``Dir(alpha)``, without the multinomial coefficient.
+
+    One lambda serves all slots: the log-gamma expression is long, so it is not written out per slot.
+    """
+    a_sum = float(sum(alpha))
+    n = F.aggregate(counts, F.lit(0.0), lambda s, x: s + x)
+    slots = F.zip_with(counts, literal_vector(alpha), lambda c, a: log_gamma(c + a))
+    constant = math.lgamma(a_sum) - sum(math.lgamma(a) for a in alpha)
+    return F.lit(constant) - log_gamma(n + F.lit(a_sum)) + F.aggregate(slots, F.lit(0.0), lambda s, x: s + x)
 
 
 def vector_from_counts(counts_by_label: Column, levels: list[str]) -> Column:

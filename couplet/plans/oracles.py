@@ -422,6 +422,15 @@ def oracles() -> dict[str, str]:
         SELECT level_a, level_b, a.n AS n_a, b.n AS n_b, round(a.mean, {R}) AS mean_a, round(b.mean, {R}) AS mean_b,
                round(b.mean - a.mean, {R}) AS delta, u AS "U", round(p, {R}) AS p, {_STARS} AS stars
         FROM test JOIN arm a ON a.region = level_a JOIN arm b ON b.region = level_b"""
+    out["contrast_orders"] = f"""WITH flags AS (SELECT DISTINCT l_returnflag AS f FROM lineitem),
+        pair AS (SELECT x.f AS level_a, y.f AS level_b FROM flags x JOIN flags y ON x.f < y.f),
+        sided AS (SELECT level_a, level_b, l_returnflag = level_a AS is_a, l_quantity AS v FROM lineitem JOIN pair ON l_returnflag IN (level_a, level_b)),
+        ranked AS (SELECT *, rank() OVER (PARTITION BY level_a, level_b ORDER BY v)
+                   + (count(*) OVER (PARTITION BY level_a, level_b, v) - 1) / 2.0 AS mid FROM sided),
+        sums AS (SELECT level_a, level_b, count(*) FILTER (is_a) AS n_a, count(*) FILTER (NOT is_a) AS n_b, avg(v) FILTER (is_a) AS mean_a,
+                        avg(v) FILTER (NOT is_a) AS mean_b, sum(mid) FILTER (is_a) AS ra FROM ranked GROUP BY ALL)
+        SELECT level_a, level_b, n_a, n_b, round(mean_a, {R}) AS mean_a, round(mean_b, {R}) AS mean_b,
+               round(mean_b - mean_a, {R}) AS delta, round(ra - n_a * (n_a + 1) / 2.0, {R}) AS "U" FROM sums"""
     out["contrast_paired"] = per_sample.rstrip() + f""",
         d AS (SELECT x.nation, y.mi - x.mi AS value, 0 AS k FROM info x JOIN info y ON x.nation = y.nation
               WHERE x.covariate = 'post' AND y.covariate = 'pre'),

@@ -531,9 +531,16 @@ def contrast_less(spark, sf):
 
 @query
 def contrast_orders(spark, sf):
-    """Large-sample contrast with many ties: quantities of the two line states, by return flag."""
-    rows = views.read(spark, sf, "lineitem").select("l_linestatus", "l_quantity")
-    return summarise.compare_groups(rows, value="l_quantity", splitby="l_linestatus")
+    """Large-sample contrasts with many ties: line quantities by return flag."""
+    rows = views.read(spark, sf, "lineitem").select("l_returnflag", "l_quantity")
+    return summarise.compare_groups(rows, value="l_quantity", splitby="l_returnflag").drop("p", "stars")
+
+
+@query
+def contrast_orders_p(spark, sf):
+    """The same contrasts with their tie-corrected normal p-values."""
+    rows = views.read(spark, sf, "lineitem").select("l_returnflag", "l_quantity")
+    return summarise.compare_groups(rows, value="l_quantity", splitby="l_returnflag").select("level_a", "level_b", "p", "stars")
 
 
 @query
