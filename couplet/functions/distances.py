@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -67,8 +68,17 @@ def python_distance(f: Callable[[np.ndarray, np.ndarray], float]) -> Callable[[C
     return lambda p, q, size: call(p, q)
 
 
+@dataclass(frozen=True)
+class ColumnDistance:
+    """Marks a user distance written with Column functions, ``f(p, q, size) -> Column``."""
+
+    f: Callable[[Column, Column, int], Column]
+
+
 def resolve_distance(metric) -> Callable[[Column, Column, int], Column]:
-    """A name, or a Python ``f(p, q) -> float``; unknown names are refused."""
+    """A name, a ``ColumnDistance``, or a Python ``f(p, q) -> float``; unknown names are refused."""
+    if isinstance(metric, ColumnDistance):
+        return metric.f
     if callable(metric):
         return python_distance(metric)
     key = str(metric).lower()

@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from couplet.functions.vectors import BASE_EPS, argmax_label, each, fold, softmax
-from couplet.operators.joint import combine_weights
+from couplet.operators.joint import checked_logits, combine_weights
 from couplet.operators.metrics import check_mode, information_by
 from couplet.operators.shared import lookup_join
 from couplet.spec import CLONE, COVARIATE, PHENOTYPE, Study, count_table, levels_of
@@ -58,7 +58,8 @@ def _cells_with_base(study: Study, cells: DataFrame | None) -> DataFrame:
     cells = study.cells if cells is None else cells
     dims, side = study.dims()
     base = dims.select(CLONE, COVARIATE, F.col("p").alias("__p"), F.col("n_cells").alias("__w"))
-    joined = lookup_join(cells.drop("__p", "__w"), base, [CLONE, COVARIATE], "__w", side=side)
+    cells = cells.drop("__p", "__w").withColumn("logits", checked_logits(study.size))
+    joined = lookup_join(cells, base, [CLONE, COVARIATE], "__w", side=side)
     return joined.drop("__w")
 
 

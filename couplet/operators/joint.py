@@ -87,7 +87,7 @@ def partials(study: Study, *, covariates: list[str] | None = None, groupby: str
         return drawn.select(COVARIATE, CLONE, *label_columns(dims), "draw", part.alias("part"))
 
     cells = _restrict(study.cells.select(
-        CLONE, COVARIATE, *[c for c in ("cell_id",) if c in study.cells.columns], "logits"), wanted,
+        CLONE, COVARIATE, *[c for c in ("cell_id",) if c in study.cells.columns], checked_logits(study.size)), wanted,
         # a long clone list already limits the lookup side; filtering cells by it would shuffle them by clone
         clones if isinstance(clones, (list, tuple)) and len(clones) <= SHORT_LIST else None)
     logit_weight, base_weight = combine_weights(study.gate, temperature)
@@ -100,6 +100,13 @@ def _restrict(df: DataFrame, covariates: list[str], clones) -> DataFrame:
     return clone_filter(df.where(F.col(COVARIATE).isin(covariates)), clones)
 
 
+def checked_logits(size: int) -> Column:
+    """The cell's logits; a cell without them, or with another length, fails the job."""
+    message = F.lit(f"a cell has no logits vector of length {size}")
+    return F.when(F.size("logits") == size, F.col("logits")) \
+        .otherwise(F.raise_error(message).cast("array<double>")).alias("logits")
+
+
 def combine_weights(gate: float | None, temperature: float) -> tuple[float, float]:
     """Weights of the logit and of ``log base`` inside the softmax."""
     t = float(temperature)

@@ -19,6 +19,9 @@ SHORT_LIST = 200
 WIDE_AGGREGATE = 128
 
 
+_local_folder: list[str] = []
+
+
 def stage_folder(spark: SparkSession) -> str:
     """Shared folder for stage tables: ``spark.checkpoint.dir``, or a scratch folder in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -26,9 +29,9 @@ def stage_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before running on a cluster")
-    folder = tempfile.mkdtemp(prefix="spark-couplet-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not _local_folder:
+        _local_folder.append(tempfile.mkdtemp(prefix="spark-couplet-", dir="/tmp"))
+    return _local_folder[0]
 
 
 def task_count(spark: SparkSession, work: float, per_task: float) -> int:

@@ -260,13 +260,16 @@ class Study:
 
     def with_evidence(self, evidence: DataFrame | None = None, *, gate: float | None = None,
                       classifier_temperature: float = 1.0) -> "Study":
-        """Attach per-cell ``logits`` (and optionally ``probs``, ``latent``) by cell id."""
+        """Attach per-cell ``logits`` (and optionally ``probs``, ``latent``) by cell id.
+
+        No cell is dropped: one without evidence fails the jobs that need its logits.
+        """
         cells = self.cells
         if evidence is not None:
             if CELL_ID not in cells.columns or CELL_ID not in evidence.columns:
                 raise ValueError("evidence is joined by cell id; register cell_id_key and name it 'cell_id'")
             extra = [c for c in ("logits", "probs", "latent") if c in evidence.columns]
-            cells = cells.drop(*extra).join(evidence.select(CELL_ID, *extra), CELL_ID)
+            cells = cells.drop(*extra).join(evidence.select(CELL_ID, *extra), CELL_ID, "left")
         study = self.replace(gate=gate, classifier_temperature=classifier_temperature)
         return _replace(study, cells=cells)
 

@@ -169,3 +169,15 @@ def test_non_finite_probabilities_become_uniform_entries(spark, rows, fitted):
     got = as_dict(joint.joint_table(fitted.with_posterior(broken, 3.0, check=False), use_logits=False), "clonotype", "covariate")
     for k, (p, _) in fx.fitted(rows).items():
         np.testing.assert_allclose(got[k], [0.25, p[1], 0.25, p[3]], atol=1e-12)
+
+
+def test_cells_without_logits_fail_instead_of_vanishing(spark, rows):
+    study = fx.study(spark, rows, fit=True)
+    some = study.cells.select("cell_id", "logits").where("cell_id <> '0-0'")
+    partial = study.replace(cells=study.cells.drop("logits")).with_evidence(some)
+    assert partial.cells.count() == len(rows)
+    for n in (0, 2):
+        with pytest.raises(Exception, match="no logits vector"):
+            joint.joint_table(partial, n_samples=n).collect()
+    with pytest.raises(Exception, match="no logits vector"):
+        evidence.predict(partial).collect()
