@@ -64,17 +64,23 @@ def ranked_values(df: DataFrame, value: str, keys: Sequence[str] = (), sums: dic
                         (F.row_number().over(w) - 1).cast("long").alias("__position"))
     # per key at most one row per range: a bounded window
     totals = hist.groupBy(*keys, "range").agg(F.sum("n").alias("__n"), F.count(F.lit(1)).alias("__d"))
+    on = ["__key", "range"]
     lower = Window.partitionBy(*over).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = materialise(totals.select(*keys, "range", "__d",
+    shifts = materialise(totals.select(_joinable(keys), "range", "__d",
                                        F.coalesce(F.sum("__n").over(lower), F.lit(0)).alias("__shift"),
                                        F.coalesce(F.sum("__d").over(lower), F.lit(0)).alias("__pshift")))
-    ranked = lookup_join(local, shifts, [*keys, "range"], "__d", row_bytes=96)
+    ranked = lookup_join(local.select("*", _joinable(keys)), shifts, on, "__d", row_bytes=96)
     ranked = ranked.select(*[c for c in hist.columns if c != "range"],
                            (F.col("__below") + F.col("__shift")).alias("below"),
                            (F.col("__position") + F.col("__pshift")).alias("position"))
     return Ranked(materialise(ranked), keys, distinct)
 
 
+def _joinable(keys: Sequence[str]) -> Column:
+    """One non-NULL text key, so that a group labelled NULL survives an equi-join."""
+    return (F.to_json(F.struct(*keys)) if keys else F.lit("")).alias("__key")
+
+
 def midrank() -> Column:
     """Average rank of a tied value, from ``below`` and ``n``."""
     return F.col("below") + (F.col("n") + 1) / 2.0
@@ -85,7 +91,9 @@ def _with_totals(ranked: Ranked) -> DataFrame:
     if not ranked.keys:
         total = totals.first()["total"] or 0
         return ranked.rows.withColumn("total", F.lit(total).cast("long"))
-    return lookup_join(ranked.rows, materialise(totals), ranked.keys, "__d", row_bytes=96).drop("__d")
+    totals = materialise(totals.select(_joinable(ranked.keys), "total", "__d"))
+    rows = ranked.rows.select("*", _joinable(ranked.keys))
+    return lookup_join(rows, totals, ["__key"], "__d", row_bytes=96).drop("__d", "__key")
 
 
 def exact_quantiles(df: DataFrame, value: str, keys: Sequence[str], probs: Sequence[float],

@@ -36,7 +36,8 @@ def test_ranks_quantiles_and_hdi_of_skewed_groups(spark, monkeypatch, window_row
     monkeypatch.setattr(ranks, "WINDOW_ROWS", window_rows)
     monkeypatch.setattr(ranks, "_BLOCK_RANKS", 64)
     rng = np.random.default_rng(0)
-    groups = {"a": np.round(rng.gamma(2, 2, 900), 1), "b": rng.normal(size=301), "c": np.array([4.0]), "d": np.full(200, 7.0)}
+    groups = {"a": np.round(rng.gamma(2, 2, 900), 1), "b": rng.normal(size=301), "c": np.array([4.0]), "d": np.full(200, 7.0),
+              None: np.round(rng.normal(size=150), 1)}
     df = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v], "k string, x double")
     ranked = ranks.ranked_values(df, "x", ["k"]).rows.collect()
     for k, v in groups.items():
