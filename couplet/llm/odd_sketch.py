@@ -34,6 +34,7 @@ SAMPLES = 128                       # MinHash samples of the sketch; the first B
 SKETCH_BITS = 512
 SKETCH_WORDS = SKETCH_BITS // 64
 SIGMAS = 5
+BLOCK_SHINGLES = 300_000            # shingles of a block of documents in exact comparisons
 
 _rng = np.random.Generator(np.random.PCG64(20))
 _MULTIPLY = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -147,6 +148,60 @@ def similar_links(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percen
 _SKETCH = [f"__s{i}" for i in range(SKETCH_WORDS)]
 
 
+def cross_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between band members outside their band's main component and all others of the band.
+
+    Both sides are dealt into blocks of about ``BLOCK_SHINGLES`` shingles, and a task counts the common
+    shingles of one pair of blocks by a matrix product, so pairs never become rows. Of the links of a
+    document with one component the first is enough.
+    """
+    apart = F.col("part") != F.col("main")
+    busy = placed.groupBy("key").agg(F.sum("n").alias("all_n"), F.sum(F.when(apart, F.col("n"))).alias("apart_n")) \
+        .where("apart_n > 0").select("key", F.ceil(F.col("all_n") / BLOCK_SHINGLES).alias("all_blocks"),
+                                     F.ceil(F.col("apart_n") / BLOCK_SHINGLES).alias("apart_blocks"))
+    rows = placed.join(busy, "key")
+    dealt = lambda blocks: F.pmod(F.xxhash64("id"), F.col(blocks))                     # noqa: E731
+    every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
+    left = rows.where(apart).select("key", "id", "part", dealt("apart_blocks").alias("i"), every("all_blocks").alias("j"),
+                                    F.lit(True).alias("outside"))
+    right = rows.select("key", "id", "part", every("apart_blocks").alias("i"), dealt("all_blocks").alias("j"),
+                        F.lit(False).alias("outside"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        outside = table.column("outside").to_numpy()
+        ids, part = table.column("id").to_numpy(), table.column("part").to_numpy()
+        lists = table.column("set").combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        owner, flat = np.repeat(np.arange(len(ids)), sizes), lists.flatten().to_numpy()
+        rank = np.where(outside, np.cumsum(outside) - 1, np.cumsum(~outside) - 1)
+        mine, theirs = outside[owner], ~outside[owner]
+        shared = np.intersect1d(flat[mine], flat[theirs])
+        n_left, n_right = int(outside.sum()), int((~outside).sum())
+        common = np.zeros((n_left, n_right), np.float32)
+        at = np.searchsorted(shared, flat)
+        at[at == len(shared)] = 0
+        known = shared[at] == flat if len(shared) else np.zeros(len(flat), bool)
+        width = max(1, (1 << 22) // max(1, n_left + n_right))
+        for start in range(0, len(shared), width):
+            here = known & (at >= start) & (at < start + width)
+            sides = []
+            for side, n in ((mine, n_left), (theirs, n_right)):
+                marks = np.zeros((n, width), np.float32)
+                marks[rank[owner[here & side]], at[here & side] - start] = 1
+                sides.append(marks)
+            common += sides[0] @ sides[1].T
+        size_l, size_r = sizes[outside], sizes[~outside]
+        part_l, part_r = part[outside], part[~outside]
+        enough = 100 * common.astype(np.int64) >= percent * (size_l[:, None] + size_r[None, :] - common.astype(np.int64))
+        x, y = np.nonzero(enough & (part_l[:, None] != part_r[None, :]))
+        _, first = np.unique(np.stack([x, part_r[y]]), axis=1, return_index=True)
+        a, b = ids[outside][x[first]], ids[~outside][y[first]]
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    return left.unionByName(right).join(sets, "id").groupBy("key", "i", "j") \
+        .applyInArrow(compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5,
                     percent: int = 80) -> DataFrame:
     """``(id, n_shingles, component_id, kept)`` per row of ``docs``.
@@ -187,14 +242,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
         .join(first.select(F.col("node").alias("lo"), F.col("component").alias("main")), "lo", "left")
     placed = materialise(at.select("key", "id", "n", F.coalesce("component", "id").alias("part"),
                                    F.coalesce("main", "lo").alias("main")))
-    apart = placed.where("part != main").select("key", F.col("id").alias("x"), F.col("n").alias("xn"),
-                                                F.col("part").alias("xpart"))
-    rest = apart.join(placed, "key").where(
-        (F.col("part") != F.col("xpart")) & ((F.col("part") == F.col("main")) | (F.col("x") < F.col("id")))
-        & (100 * F.least("n", "xn") >= percent * F.greatest("n", "xn")))
-    others = rest.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct() \
-        .join(chosen, ["a", "b"], "left_anti")
-    more = materialise(similar_links(others, sketches, sets, percent))
+    more = materialise(cross_links(placed, sets, percent))
     final = components(links.unionByName(more)) if more.limit(1).count() else first
 
     found = members.join(final.withColumnRenamed("node", "rep"), "rep", "left") \
