@@ -17,6 +17,7 @@ are replaced.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,8 @@ from pyspark.sql import DataFrame, types as T
 from couplet.llm.texts import mix, rolling, slices, span_hashes
 
 SPACE = 0x2581
-TEXT_BYTES = 4 << 20       # texts encoded at a time
-CACHE_UNITS = 600_000     # fragments remembered per worker before it starts afresh
+TEXT_BYTES = 2 << 20       # texts encoded at a time
+CACHE_UNITS = 500_000      # fragments remembered per worker before it starts afresh
 PAIR_SLOTS = 1 << 22       # slots for verdicts on pairs; half full, the table starts afresh
 LONG_UNIT = 64             # longer fragments are cut further, at character pairs that no piece holds
 
@@ -327,3 +328,29 @@ def decode(df: DataFrame, table: PieceTable, ids: str = "piece_ids", out: str =
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in passed], made], [*passed, out])
 
     return source.mapInArrow(run, schema)
+
+
+def round_trip(df: DataFrame, table: PieceTable, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(id, n_pieces, pieces_sha256, round_trip)``: texts encoded, digested and decoded in one pass.
+
+    The digest is of the ids as little-endian 32-bit integers. ``round_trip`` tells whether decoding
+    gives the text back (null for a null text).
+    """
+    source = df.select(id, text)
+    schema = T.StructType([source.schema[id], *T.StructType.fromDDL(
+        "n_pieces long, pieces_sha256 string, round_trip boolean")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text, TEXT_BYTES):
+                known, texts = resident(table), part.column(text).to_pylist()
+                ids, borders = known.encode(texts)
+                back = known.decode(ids, borders)
+                raw = ids.astype("<i4").tobytes()
+                digests = [hashlib.sha256(raw[4 * a:4 * b]).hexdigest() for a, b in zip(borders[:-1], borders[1:])]
+                same = [None if t is None else t == b for t, b in zip(texts, back)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(id), pa.array(np.diff(borders)), pa.array(digests, pa.string()), pa.array(same, pa.bool_())],
+                    schema.names)
+
+    return source.mapInArrow(run, schema)

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 import corpus_pipeline
@@ -52,23 +49,7 @@ def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces_of = pieces.PieceTable.load(corpus_pipeline.PIECE_MODEL)
-    encoded = pieces.encode(table(spark, sf_dir, "documents"), pieces_of, keep=["doc_id", "text"])
-    decoded = pieces.decode(encoded, pieces_of)
-
-    def digest(batches):
-        for batch in batches:
-            ids, texts, back = (batch.column(c) for c in ("piece_ids", "text", "decoded"))
-            borders = ids.offsets.to_numpy() - ids.offsets[0].as_py()
-            flat = ids.flatten().to_numpy().astype("<i4")
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(borders).astype(np.int64)),
-                 pa.array([hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(borders[:-1], borders[1:])]),
-                 pa.array([a.as_py() == b.as_py() for a, b in zip(texts, back)])],
-                ["doc_id", "n_pieces", "pieces_sha256", "round_trip"])
-
-    return decoded.select("doc_id", "piece_ids", "text", "decoded").mapInArrow(
-        digest, "doc_id long, n_pieces long, pieces_sha256 string, round_trip boolean")
+    return pieces.round_trip(table(spark, sf_dir, "documents"), pieces.PieceTable.load(corpus_pipeline.PIECE_MODEL))
 
 
 def _digits(text, start: int):
