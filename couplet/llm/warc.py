@@ -33,7 +33,7 @@ from couplet.operators.shared import materialise, stage_folder
 
 SKIPPABLE = 0x184D2A5D
 ARCHIVE_BYTES = 16 << 20
-# The dictionary is built from at most so many records of at most so many bytes each.
+# The dictionary is built from about so many records of at most so many bytes each.
 SAMPLE_RECORDS, SAMPLE_RECORD_BYTES, DICTIONARY_BYTES = 400, 16 << 10, 64 << 10
 MIN_REFERRED = 100                   # shorter payloads are stored again rather than referred to
 LEVEL = 3
@@ -53,12 +53,20 @@ def payload_roles(pages: DataFrame, id: str, payload: str, shortest: int = MIN_R
         "id", "digest", F.when(F.col("id") != F.col("first"), F.col("first")).alias("refers_to"))
 
 
-def build_dictionary(pages: DataFrame, payload: str) -> bytes:
-    """A dictionary trained on a bounded sample of whole records; empty if they are too few to learn from."""
+def build_dictionary(pages: DataFrame, roles: DataFrame, payload: str) -> bytes:
+    """A dictionary trained on about ``SAMPLE_RECORDS`` whole records; empty if they are too few.
+
+    The sample is the distinct payloads whose digest falls below a bound set by their number, so it
+    stays the same size however many records and copies there are.
+    """
+    distinct = roles.select("digest").distinct().count()
+    share = min(1.0, SAMPLE_RECORDS / max(distinct, 1))
     body = F.col(f"`{payload}`")
-    fit = pages.where(F.octet_length(body).between(MIN_REFERRED, SAMPLE_RECORD_BYTES))
-    sample = [r[0].encode() for r in fit.select(body.alias("b"), F.xxhash64(body).alias("h"))
-              .orderBy("h").limit(SAMPLE_RECORDS).select("b").collect()]
+    fit = pages.where(F.octet_length(body).between(MIN_REFERRED, SAMPLE_RECORD_BYTES)) \
+        .select(body.alias("b"), F.sha2(body, 256).alias("digest")) \
+        .where(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") <= int(share * 0xFFFFFFFF)) \
+        .groupBy("digest").agg(F.min("b").alias("b"))
+    sample = [r[0].encode() for r in fit.orderBy("digest").limit(2 * SAMPLE_RECORDS).select("b").collect()]
     if len(sample) < 16:
         return b""
     try:
@@ -87,8 +95,8 @@ def record_bytes(page_id, url: str | None, payload: bytes, digest: str, refers_t
 def write_archives(pages: DataFrame, folder: str, id: str = "page_id", url: str = "url",
                    payload: str = "html") -> DataFrame:
     """Write all records under ``folder`` and return the manifest ``(path, records, bytes)``."""
-    roles = payload_roles(pages, id, payload)
-    words = build_dictionary(pages, payload)
+    roles = materialise(payload_roles(pages, id, payload))
+    words = build_dictionary(pages, roles, payload)
     rows = pages.select(F.col(f"`{id}`").alias("id"), F.col(f"`{url}`").alias("url"),
                         F.coalesce(F.col(f"`{payload}`"), F.lit("")).alias("payload"))
     # The digest joins too: rows that repeat an id keep their own payload's role.
