@@ -4,8 +4,9 @@ The features of a line are measures of its characters and words, and those of th
 after it. Lines of a labelled document carry the document's label in training. Forward-backward
 marginals of "good", weighted by the words of the lines, add up to the document's score.
 
-The field is fitted on the driver on a bounded sample: at most ``SAMPLE_DOCUMENTS`` labelled
-documents per class, those with the smallest id hash, each of at most ``SAMPLE_LINES`` lines. Scoring
+The field is fitted on the driver on a bounded sample: about ``SAMPLE_DOCUMENTS`` labelled documents
+per class, those whose id hash falls below a bound set by their number, each of at most
+``SAMPLE_LINES`` lines. Scoring
 covers every line of every text, in the tasks.
 
 Nulls and edges: lines without a word are no part of the chain. A text without words scores 0. Without
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from couplet.llm.texts import LOWER, Texts, annotate, sums, windows
 
-SAMPLE_DOCUMENTS = 2000
+SAMPLE_DOCUMENTS = 2000         # per class, of some tens of bytes each where they are broadcast
 SAMPLE_LINES = 200
 GOOD_FROM = 0.3
 FOLDS = 5
@@ -199,9 +200,12 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     usable = labels.select(F.col(f"`{id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y")) \
         .where("id is not null and y in (0, 1)").where(fold_of(F.col("id")) != 0) \
         .groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").drop("z")
-    share = usable.agg(F.avg("y")).first()[0]
-    ranked = [usable.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(documents) for y in (0, 1)]
-    chosen = ranked[0].unionByName(ranked[1])                     # 2 * documents rows of 12 bytes
+    seen = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}    # two rows
+    share = seen.get(1, 0) / sum(seen.values()) if seen else None
+    part = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("long")
+    chosen = usable.where(F.lit(False))
+    for y, n in seen.items():
+        chosen = chosen.unionByName(usable.where((F.col("y") == y) & (part < int(min(1.0, documents / n) * (1 << 32)))))
     rows = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")) \
         .join(F.broadcast(chosen), "id")
 
