@@ -48,16 +48,19 @@ def paths(messages: DataFrame, tree: str = "tree", node: str = "node", parent: s
     n = nodes.count()
     jumps, reach = [level.where("up is not null").select("tree", "node", "up")], 1
     parents = jumps[0]
-    while reach <= n and level.where("up is not null").limit(1).count():
-        above = level.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("next"),
-                             F.col("score").alias("more"), F.col("depth").alias("steps"))
-        level = materialise(level.join(above, level["tree"].eqNullSafe(above["t"]) & (level["up"] == above["n"]), "left")
-                            .select("tree", "node", F.col("next").alias("up"),
-                                    (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
-                                    (F.col("depth") + F.coalesce("steps", F.lit(0))).alias("depth")))
-        jumps.append(level.where("up is not null").select("tree", "node", "up"))
+    # Only messages whose pointer has not passed the root are joined again.
+    done, live = level.where("up is null"), level.where("up is not null")
+    while reach <= n and live.limit(1).count():
+        above = done.unionByName(live).select(
+            F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("next"),
+            F.col("score").alias("more"), F.col("depth").alias("steps"))
+        level = materialise(live.join(above, live["tree"].eqNullSafe(above["t"]) & (live["up"] == above["n"]))
+                            .select("tree", "node", F.col("next").alias("up"), (F.col("score") + F.col("more")).alias("score"),
+                                    (F.col("depth") + F.col("steps")).alias("depth")))
+        done, live = done.unionByName(level.where("up is null")), level.where("up is not null")
+        jumps.append(live.select("tree", "node", "up"))
         reach *= 2
-    rooted = level.where("up is null")
+    rooted = done
     inner = parents.select(F.col("tree").alias("t"), F.col("up").alias("u")).distinct()
     leaves = rooted.join(inner, rooted["tree"].eqNullSafe(inner["t"]) & (rooted["node"] == inner["u"]), "left_anti")
     if top == 1:
