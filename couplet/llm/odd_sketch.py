@@ -34,7 +34,8 @@ SAMPLES = 128                       # MinHash samples of the sketch; the first B
 SKETCH_BITS = 512
 SKETCH_WORDS = SKETCH_BITS // 64
 SIGMAS = 5
-BLOCK_SHINGLES = 300_000            # shingles of a block of documents in exact comparisons
+# Blocks of documents in exact comparisons: bounds on their shingles and their number.
+BLOCK_SHINGLES, BLOCK_DOCUMENTS = 200_000, 1000
 
 _rng = np.random.Generator(np.random.PCG64(20))
 _MULTIPLY = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -151,14 +152,15 @@ _SKETCH = [f"__s{i}" for i in range(SKETCH_WORDS)]
 def cross_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between band members outside their band's main component and all others of the band.
 
-    Both sides are dealt into blocks of about ``BLOCK_SHINGLES`` shingles, and a task counts the common
+    Both sides are dealt into blocks of bounded size, and a task counts the common
     shingles of one pair of blocks by a matrix product, so pairs never become rows. Of the links of a
     document with one component the first is enough.
     """
     apart = F.col("part") != F.col("main")
-    busy = placed.groupBy("key").agg(F.sum("n").alias("all_n"), F.sum(F.when(apart, F.col("n"))).alias("apart_n")) \
-        .where("apart_n > 0").select("key", F.ceil(F.col("all_n") / BLOCK_SHINGLES).alias("all_blocks"),
-                                     F.ceil(F.col("apart_n") / BLOCK_SHINGLES).alias("apart_blocks"))
+    blocks_of = lambda inside: F.ceil(F.greatest(                                      # noqa: E731
+        F.sum(F.when(inside, F.col("n"))) / BLOCK_SHINGLES, F.count(F.when(inside, 1)) / BLOCK_DOCUMENTS))
+    busy = placed.groupBy("key").agg(blocks_of(F.lit(True)).alias("all_blocks"), blocks_of(apart).alias("apart_blocks")) \
+        .where("apart_blocks > 0")
     rows = placed.join(busy, "key")
     dealt = lambda blocks: F.pmod(F.xxhash64("id"), F.col(blocks))                     # noqa: E731
     every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
@@ -181,7 +183,7 @@ def cross_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         at = np.searchsorted(shared, flat)
         at[at == len(shared)] = 0
         known = shared[at] == flat if len(shared) else np.zeros(len(flat), bool)
-        width = max(1, (1 << 22) // max(1, n_left + n_right))
+        width = max(1, (1 << 21) // max(1, n_left + n_right))
         for start in range(0, len(shared), width):
             here = known & (at >= start) & (at < start + width)
             sides = []

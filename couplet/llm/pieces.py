@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame, types as T
 from couplet.llm.texts import mix, rolling, slices, span_hashes
 
 SPACE = 0x2581
-TEXT_BYTES = 2 << 20       # texts encoded at a time
-CACHE_UNITS = 500_000      # fragments remembered per worker before it starts afresh
-PAIR_SLOTS = 1 << 22       # slots for verdicts on pairs; half full, the table starts afresh
+TEXT_BYTES = 1 << 20       # texts encoded at a time
+CACHE_UNITS = 250_000      # fragments remembered per worker before it starts afresh
+PAIR_SLOTS = 1 << 20       # slots for verdicts on pairs; half full, the table starts afresh
 LONG_UNIT = 64             # longer fragments are cut further, at character pairs that no piece holds
 
 

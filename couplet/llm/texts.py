@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, types as T
 
 # Texts are worked on in groups of about this many bytes, which bounds a task's memory.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -30,7 +30,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_tables.get("up", ())) < n:
+    if len(_tables.get("up", ())) < max(n, 1):
         size = max(n, CHUNK_BYTES)
         for name, factor in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             steps = np.full(size, factor & _MASK, np.uint64)
