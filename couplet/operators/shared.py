@@ -157,8 +157,10 @@ def clone_filter(df: DataFrame, clones, column: str = "clonotype") -> DataFrame:
     wanted = list(clones)
     if len(wanted) <= SHORT_LIST:
         return df.where(F.col(column).isin(wanted))
+    # As text first, so that a long list is cast to the column's type as a predicate would cast it.
     kind = df.schema[column].dataType.simpleString()
-    listed = df.sparkSession.createDataFrame([(c,) for c in wanted], f"`{column}` {kind}").distinct()
+    text = df.sparkSession.createDataFrame([(None if c is None else str(c),) for c in wanted], f"`{column}` string")
+    listed = text.select(F.col(column).try_cast(kind).alias(column)).distinct()
     return df.join(listed, column, "left_semi")
 
 

@@ -283,3 +283,11 @@ def test_estimator_errors(spark):
                                "k string, value double, population double, realised double, hdi_low double, hdi_high double")
     r = diagnose.estimator_errors(df, ["k"]).first()
     assert (r["mae_population"], r["mae_realised"], r["hdi_coverage"]) == (pytest.approx(0.05), pytest.approx(0.1), 0.5)
+
+
+def test_long_and_short_clone_lists_select_alike(spark):
+    from couplet.operators.shared import SHORT_LIST, clone_filter
+    cells = spark.range(500).withColumnRenamed("id", "clonotype")
+    for n in (SHORT_LIST, SHORT_LIST + 1):
+        assert clone_filter(cells, [str(i) for i in range(n)]).count() == n
+        assert clone_filter(cells, list(range(n))).count() == n
