@@ -10,6 +10,7 @@ exchanging anything.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +28,13 @@ _TOLERANCE = 1e-12
 
 
 def _ranked_scores(df: DataFrame, scores: str, labels: str, pos_label) -> tuple[Ranked, object]:
-    df = df.where(F.col(scores).isNotNull() & F.col(labels).isNotNull())
+    known = F.col(scores).isNotNull() & F.col(labels).isNotNull()
+    seen = df.agg(F.max(F.when(known, F.col(labels))).alias("top"), F.count_if(~known).alias("unknown")).first()
+    if seen["unknown"]:
+        warnings.warn(f"{seen['unknown']} rows have no score or no label and are left out", UserWarning, stacklevel=3)
+    df = df.where(known)
     if pos_label is None:
-        pos_label = df.agg(F.max(labels)).first()[0]
+        pos_label = seen["top"]
     ranked = ranked_values(df, scores, sums={"pos": (F.col(labels) == F.lit(pos_label)).cast("long")})
     return ranked, pos_label
 
@@ -47,7 +52,6 @@ def _observed(ranked: Ranked) -> dict:
 
 def auroc(df: DataFrame, scores: str, labels: str, pos_label=None) -> DataFrame:
     """One row: ``auc, n_pos, n_neg``; a single class is undefined."""
-    df = df.where(F.col(scores).isNotNull() & F.col(labels).isNotNull())
     ranked, _ = _ranked_scores(df, scores, labels, pos_label)
     sums = ranked.rows.agg(F.sum("n").alias("n"), F.sum("pos").alias("n_pos"),
                            F.sum(midrank() * F.col("pos")).alias("r"))

@@ -87,7 +87,7 @@ def partials(study: Study, *, covariates: list[str] | None = None, groupby: str
         return drawn.select(COVARIATE, CLONE, *label_columns(dims), "draw", part.alias("part"))
 
     cells = _restrict(study.cells.select(
-        CLONE, COVARIATE, *[c for c in ("cell_id",) if c in study.cells.columns], checked_logits(study.size)), wanted,
+        CLONE, COVARIATE, *[c for c in ("cell_id",) if c in study.cells.columns], "logits"), wanted,
         # a long clone list already limits the lookup side; filtering cells by it would shuffle them by clone
         clones if isinstance(clones, (list, tuple)) and len(clones) <= SHORT_LIST else None)
     logit_weight, base_weight = combine_weights(study.gate, temperature)
@@ -118,7 +118,8 @@ def _fold_native(study: Study, cells: DataFrame, dims: DataFrame, measured: Look
     size = study.size
     labels = label_columns(dims)
     side = dims.select(CLONE, COVARIATE, "n_cells", *labels, log_base(F.col("base"), size).alias("log_base"))
-    joined = lookup_join(cells, side, [CLONE, COVARIATE], "n_cells", side=measured)
+    joined = lookup_join(cells, side, [CLONE, COVARIATE], "n_cells", side=measured) \
+        .withColumn("logits", checked_logits(size))     # after the join: clones that are not listed need none
     keys = [COVARIATE, CLONE, *labels]
     combined = each(size, lambda l, b: l * logit_weight + b * base_weight, F.col("logits"), F.col("log_base"))
     return softmax_rows(joined.select(*keys, combined.alias("__x")), keys, "__x", "part", size) \
@@ -200,7 +201,7 @@ def _fold_draws(study: Study, cells: DataFrame, dims: DataFrame, measured: Looku
     if measured.broadcast:      # a shuffled lookup already placed equal pairs together
         tasks = task_count(study.spark, float(measured.fact_rows) * n_samples * size, _TASK_VALUES)
         joined = joined.repartition(tasks, *on, "__salt")
-    ready = joined.sortWithinPartitions(*on).select(*names, "logits", "base", "magnitude", _pair_key())
+    ready = joined.sortWithinPartitions(*on).select(*names, checked_logits(size), "base", "magnitude", _pair_key())
     step = max(1, _BLOCK_VALUES // (n_samples * size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

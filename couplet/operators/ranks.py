@@ -117,11 +117,13 @@ def exact_quantiles(df: DataFrame, value: str, keys: Sequence[str], probs: Seque
             inside = (F.col("below") <= at) & (at < F.col("below") + F.col("n"))
             picks.append(F.max(F.when(inside, F.col("value"))).alias(f"__{name}_{end}"))
         picks.append(F.max(h - F.floor(h)).alias(f"__{name}_w"))
-    out = rows.groupBy(*keys).agg(*picks)
-    return out.select(*keys, *[
+    found = rows.groupBy(*keys).agg(*picks).select(*keys, *[
         (F.col(f"__{n}_lo") + (F.col(f"__{n}_hi") - F.col(f"__{n}_lo")) * F.col(f"__{n}_w")).alias(n)
         for n in names
     ])
+    # a key whose values are all NULL has no ranks but keeps its row
+    every = df.groupBy(*keys).agg(*[F.max(F.lit(None).cast("double")).alias(n) for n in names])
+    return found.unionByName(every).groupBy(*keys).agg(*[F.max(n).alias(n) for n in names])
 
 
 def exact_hdi(df: DataFrame, value: str, keys: Sequence[str] = (), prob: float = HDI_PROB) -> DataFrame:

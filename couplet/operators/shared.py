@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 BROADCAST_BYTES = 64 * 1024 * 1024
 # A key is "hot" when it holds more than 1/HOT_SHARE of all rows, so there are < HOT_SHARE of them.
 HOT_SHARE = 512
+# Rows of one key that a task may always take; keys beyond it are hot as long as their rows can be broadcast.
+TASK_ROWS = 5_000_000
 # Clone lists up to this length become a plain predicate.
 SHORT_LIST = 200
 # Widest aggregate that is written as one expression per slot.
@@ -57,10 +59,13 @@ class LookupSide:
     rows: int
     fact_rows: int
     broadcast: bool
+    row_bytes: int = 256
 
     @property
     def hot_limit(self) -> float:
-        return self.fact_rows / HOT_SHARE
+        """Rows of a hot key: a share of all, or a task's load where the hot rows then fit the broadcast bound."""
+        share = self.fact_rows / HOT_SHARE
+        return min(share, max(float(TASK_ROWS), self.fact_rows * self.row_bytes / max(1, BROADCAST_BYTES)))
 
 
 def measure_side(dim: DataFrame, weight: str | None, row_bytes: int,
@@ -69,16 +74,24 @@ def measure_side(dim: DataFrame, weight: str | None, row_bytes: int,
     size = dim.agg(F.count(F.lit(1)).alias("n"),
                    (F.sum(weight) if weight else F.lit(0)).alias("w")).first()
     bound = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
-    return LookupSide(size["n"], int(size["w"] or 0), size["n"] * row_bytes <= bound)
+    return LookupSide(size["n"], int(size["w"] or 0), size["n"] * row_bytes <= bound, row_bytes)
 
 
 def salt_of(weight: Column, side: LookupSide, content: Sequence[Column]) -> Column:
-    """0 for ordinary keys; 1..k for hot keys, k growing with the rows of the key."""
+    """0 for ordinary keys; 1..k for hot keys, k growing with the rows of the key.
+
+    The input partition is part of the hash, so that equal rows of one key spread too; a repeated
+    task gives its rows the same salts.
+    """
     parts = F.ceil(weight / F.lit(side.hot_limit / 4 + 1))
-    return F.when(weight > side.hot_limit, F.pmod(F.xxhash64(*content), parts) + 1) \
+    return F.when(weight > side.hot_limit, F.pmod(F.xxhash64(*content, F.spark_partition_id()), parts) + 1) \
         .otherwise(F.lit(0)).cast("long")
 
 
+def _unhashable(kind: str) -> bool:
+    return "map<" in kind or "variant" in kind
+
+
 def lookup_join(facts: DataFrame, dim: DataFrame, on: list[str], weight: str, row_bytes: int = 256,
                 side: LookupSide | None = None, salt_column: str | None = None,
                 keep_unmatched: bool = False) -> DataFrame:
@@ -91,7 +104,7 @@ def lookup_join(facts: DataFrame, dim: DataFrame, on: list[str], weight: str, ro
     dealt over many partitions by a salt. ``salt_column`` keeps that salt on the output.
     """
     side = side or measure_side(dim, weight, row_bytes)
-    content = [F.col(c) for c in facts.columns]
+    content = [F.col(f"`{f.name}`") for f in facts.schema if not _unhashable(f.dataType.simpleString())]
     if side.broadcast:
         joined = facts.join(F.broadcast(dim), on, "left" if keep_unmatched else "inner")
         return joined.withColumn(salt_column, salt_of(F.col(weight), side, content)) if salt_column else joined
@@ -154,12 +167,12 @@ def clone_filter(df: DataFrame, clones, column: str = "clonotype") -> DataFrame:
     if isinstance(clones, DataFrame):
         wanted = clones.select(F.col(clones.columns[0]).alias(column)).distinct()
         return df.join(wanted, column, "left_semi")
-    wanted = list(clones)
-    if len(wanted) <= SHORT_LIST:
-        return df.where(F.col(column).isin(wanted))
-    # As text first, so that a long list is cast to the column's type as a predicate would cast it.
+    # Entries go through text to the column's type; one that has no value of that type matches nothing.
     kind = df.schema[column].dataType.simpleString()
-    text = df.sparkSession.createDataFrame([(None if c is None else str(c),) for c in wanted], f"`{column}` string")
+    wanted = [str(c) for c in clones if c is not None]
+    if len(wanted) <= SHORT_LIST:
+        return df.where(F.col(column).isin([F.lit(c).try_cast(kind) for c in wanted]))
+    text = df.sparkSession.createDataFrame([(c,) for c in wanted], f"`{column}` string")
     listed = text.select(F.col(column).try_cast(kind).alias(column)).distinct()
     return df.join(listed, column, "left_semi")
 

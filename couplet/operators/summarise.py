@@ -74,8 +74,10 @@ def across_groups(df: DataFrame, keys: Sequence[str] = (), value: str = "value",
         joined = finite.groupBy(*names).agg(*moments, ends.alias("__q")).select(
             "*", F.col("__q")[0].alias("ci_low"), F.col("__q")[1].alias("ci_high"))
     else:
-        bounds = exact_quantiles(finite, "__x", names, (0.025, 0.975), ("ci_low", "ci_high"))
-        joined = finite.groupBy(*names).agg(*moments).join(bounds, names, "left")
+        bounds = exact_quantiles(finite, "__x", names, (0.025, 0.975), ("ci_low", "ci_high")).select(
+            *[F.col(k).alias(f"__k{i}") for i, k in enumerate(names)], "ci_low", "ci_high")
+        same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(names)]
+        joined = finite.groupBy(*names).agg(*moments).join(bounds, same, "left")
     many = F.col("n_groups") > 1
     return joined.select(*keys, "value", F.when(many, F.col("sd")).alias("sd"),
                          F.when(many, F.col("ci_low")).alias("ci_low"),

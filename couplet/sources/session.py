@@ -53,9 +53,8 @@ def save_session(study: Study, path: str, *, features: DataFrame | None = None,
     setup = {
         "spec": asdict(study.spec), "phenotypes": list(study.phenotypes), "covariates": list(study.covariates),
         "local_scale": study.local_scale, "gate": study.gate,
-        "classifier_temperature": study.classifier_temperature,
+        "classifier_temperature": study.classifier_temperature, "tables": sorted(paths),
     }
-    _write_json(spark, f"{path}/setup", setup)
     meta = {"n_cells": study.cells.count(), "couplet": couplet.__version__, "pyspark": pyspark.__version__}
     if features is not None:
         names = features.select("feature").distinct()
@@ -63,6 +62,7 @@ def save_session(study: Study, path: str, *, features: DataFrame | None = None,
                         F.sum(F.xxhash64("feature").cast("decimal(38,0)")).alias("h")).first()
         meta.update(n_features=row["n"], feature_hash=str(row["h"]))
     _write_json(spark, f"{path}/meta", meta)
+    _write_json(spark, f"{path}/setup", setup)      # last: it names the tables that belong to this save
     paths.update(setup=f"{path}/setup", meta=f"{path}/meta")
     return paths
 
@@ -81,7 +81,11 @@ def load_session(spark: SparkSession, path: str, *, cells_path: str | None = Non
             raise FileNotFoundError(f"no cell table at {cells_path or path + '/cells'}") from None
         raise
 
+    setup = _read_json(spark, f"{path}/setup")
+
     def optional(name: str) -> DataFrame | None:
+        if setup is not None and name not in setup.get("tables", [name]):
+            return None         # left over from an earlier save
         try:
             return spark.read.parquet(f"{path}/{name}")
         except Exception as error:
@@ -89,7 +93,6 @@ def load_session(spark: SparkSession, path: str, *, cells_path: str | None = Non
                 return None
             raise
 
-    setup = _read_json(spark, f"{path}/setup")
     if setup is None:
         warnings.warn("no setup record; inferring roles and category order from the cell table", stacklevel=2)
         spec = CouplingSpec(CLONE, PHENOTYPE, COVARIATE, CELL_ID if CELL_ID in cells.columns else None)

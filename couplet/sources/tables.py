@@ -50,6 +50,9 @@ def check_posterior(study: Study, tolerance: float = 1e-6) -> None:
         raise ValueError(f"{bad['negative']} posterior rows hold negative probabilities")
     if bad["sum"]:
         raise ValueError(f"{bad['sum']} posterior rows do not sum to 1")
+    twice = df.groupBy(CLONE, COVARIATE).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"the posterior has {twice[0]['n']} rows for ({twice[0][CLONE]!r}, {twice[0][COVARIATE]!r})")
     uncovered = missing_pairs(study)
     row = uncovered.limit(1).collect()
     if row:

@@ -192,7 +192,10 @@ class Study:
         ct = count_table(self.cells, self.phenotypes, [CLONE, COVARIATE, *in_cells])
         from_map = [c for c in labels if c not in in_cells]
         if from_map:
-            ct = ct.join(self.clone_labels.select(CLONE, *from_map), CLONE, "left")
+            # one row per clone; labels that disagree keep both ends of their range for the checks
+            per_clone = self.clone_labels.where(F.col(CLONE).isNotNull()).groupBy(CLONE).agg(
+                *[F.min(c).alias(c) for c in from_map], *[F.max(c).alias(f"__high_{c}") for c in from_map])
+            ct = ct.join(per_clone, CLONE, "left")
         unlabelled = F.sum(F.when(F.col(groupby).isNull(), F.col("n_cells")).otherwise(0)).alias("n_unlabelled")
         if size <= WIDE_AGGREGATE:
             sums = [F.sum(F.col("counts")[j]).alias(f"c{j}") for j in range(size)]
@@ -202,7 +205,8 @@ class Study:
             counts = F.aggregate("__parts", F.array_repeat(F.lit(0.0), size),
                                  lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
         merged = ct.groupBy(CLONE, COVARIATE).agg(
-            F.sum("n_cells").alias("n_cells"), *sums, unlabelled, *_label_ranges(groupby, splitby))
+            F.sum("n_cells").alias("n_cells"), *sums, unlabelled,
+            *_label_ranges(groupby, splitby, {c: f"__high_{c}" for c in from_map}))
         per_clone = Window.partitionBy(CLONE)       # at most one row per covariate level
         return merged.select(
             CLONE, COVARIATE, "n_cells", counts.alias("counts"), "n_unlabelled",
@@ -262,14 +266,21 @@ class Study:
                       classifier_temperature: float = 1.0) -> "Study":
         """Attach per-cell ``logits`` (and optionally ``probs``, ``latent``) by cell id.
 
-        No cell is dropped: one without evidence fails the jobs that need its logits.
+        No cell is dropped: one without evidence fails the jobs that need its logits. A cell id
+        with two rows of evidence fails the job that reads it.
         """
         cells = self.cells
         if evidence is not None:
             if CELL_ID not in cells.columns or CELL_ID not in evidence.columns:
                 raise ValueError("evidence is joined by cell id; register cell_id_key and name it 'cell_id'")
             extra = [c for c in ("logits", "probs", "latent") if c in evidence.columns]
-            cells = cells.drop(*extra).join(evidence.select(CELL_ID, *extra), CELL_ID, "left")
+            # one row per cell: the count uses the join's own partitioning, and a filter cannot be pruned away
+            per_cell = F.count(F.lit(1)).over(Window.partitionBy(CELL_ID))
+            once = F.when(F.col("__n") > 1, F.raise_error(F.lit("the evidence has two rows for one cell id"))
+                          .cast("boolean")).otherwise(F.lit(True))
+            vectors = evidence.where(F.col(CELL_ID).isNotNull()).select(CELL_ID, *extra, per_cell.alias("__n")) \
+                .where(once).drop("__n")
+            cells = cells.drop(*extra).join(vectors, CELL_ID, "left")
         study = self.replace(gate=gate, classifier_temperature=classifier_temperature)
         return _replace(study, cells=cells)
 
@@ -289,13 +300,17 @@ class Study:
         return self._stages[key]
 
 
-def _label_ranges(groupby: str, splitby: str | None) -> list[Column]:
-    """Smallest and largest label; a split label counts only where the group is known."""
+def _label_ranges(groupby: str, splitby: str | None, highs: dict[str, str] | None = None) -> list[Column]:
+    """Smallest and largest label; a split label counts only where the group is known.
+
+    ``highs`` names the column of the largest label where a label column holds the smallest.
+    """
+    highs = highs or {}
     g = F.col(groupby)
-    out = [F.min(g).alias("grp_low"), F.max(g).alias("grp")]
+    out = [F.min(g).alias("grp_low"), F.max(highs.get(groupby, groupby)).alias("grp")]
     if splitby is not None:
-        s = F.when(g.isNotNull(), F.col(splitby))
-        out += [F.min(s).alias("split_low"), F.max(s).alias("split_high")]
+        low, high = (F.when(g.isNotNull(), F.col(c)) for c in (splitby, highs.get(splitby, splitby)))
+        out += [F.min(low).alias("split_low"), F.max(high).alias("split_high")]
     return out
 
 

@@ -5,7 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from couplet.functions import distances, vectors
-from couplet.operators import diagnose, estimate, evidence, frames, metrics, preprocess, shared
+from couplet.operators import (
+    auc, diagnose, estimate, evidence, frames, joint, metrics, preprocess, ranks, shared, summarise,
+)
+from couplet.spec import register_cells
 from tests import fixtures as fx
 
 
@@ -291,3 +294,67 @@ def test_long_and_short_clone_lists_select_alike(spark):
     for n in (SHORT_LIST, SHORT_LIST + 1):
         assert clone_filter(cells, [str(i) for i in range(n)]).count() == n
         assert clone_filter(cells, list(range(n))).count() == n
+
+
+def test_lookup_of_map_columns_and_equal_hot_rows(spark, monkeypatch):
+    """Maps cannot be hashed, and equal rows of a hot key must still spread over several salts."""
+    facts = spark.range(0, 8000, 1, 8).select(F.lit("hot").alias("k"), F.create_map(F.lit("a"), F.lit(1)).alias("m"))
+    dim = spark.createDataFrame([("hot", 8000, 7), *[(f"c{i}", 1, i) for i in range(50)]], "k string, w long, v int")
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 0)
+    out = shared.lookup_join(facts, dim, ["k"], "w", salt_column="s").collect()
+    assert len(out) == 8000 and {r["v"] for r in out} == {7}
+    assert len({r["s"] for r in out}) > 1
+
+
+def test_hot_limit_is_bounded_by_a_task():
+    side = shared.LookupSide(10**9, 10**12, False, 256)
+    assert side.hot_limit == shared.TASK_ROWS
+    assert 10**12 / side.hot_limit * 256 <= shared.BROADCAST_BYTES
+    assert shared.LookupSide(10, 5120, False).hot_limit == 10
+
+
+def test_quantile_paths_agree_on_null_groups(spark, monkeypatch):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", None), (None, 2.0), (None, 4.0)], "k string, value double")
+    def both(call):
+        small = call(5)
+        monkeypatch.setattr(ranks, "WINDOW_ROWS", 1)
+        monkeypatch.setattr(summarise, "WINDOW_ROWS", 1)
+        large = call(None)
+        monkeypatch.undo()
+        return small, large
+    for call in (lambda n: {tuple(r) for r in ranks.exact_quantiles(df, "value", ["k"], (0.5,), ("q",), rows=n).collect()},
+                 lambda n: {tuple(r) for r in summarise.across_groups(df, ["k"], rows=n).collect()}):
+        small, large = ({r[0]: [None if v is None else round(v, 9) for v in r[1:]] for r in rows} for rows in both(call))
+        assert small == large and set(large) == {"a", "b", None}
+
+
+def test_repeated_clone_labels_count_cells_once(spark):
+    rows = fx.cell_rows()
+    cells = spark.createDataFrame(rows, fx.SCHEMA).drop("response")
+    labels = spark.createDataFrame(sorted({(r[1], r[5]) for r in rows}) * 2, "clone string, response string")
+    def registered(labels):
+        return register_cells(cells, clonotype_key="clone", phenotype_key="pheno", covariate_key="time",
+                              replicate="patient", clone_labels=labels)
+    ct = registered(labels).counts("patient", "response")
+    assert ct.agg(F.sum("n_cells")).first()[0] == len(rows)
+    mixed = labels.unionByName(labels.limit(1).withColumn("response", F.lit("other")))
+    with pytest.raises(ValueError, match="not constant"):
+        registered(mixed).counts("patient", "response")
+
+
+def test_rows_without_a_score_are_named(spark):
+    df = spark.createDataFrame([(0.1, 0), (0.9, 1), (None, 1), (0.5, None)], "s double, y int")
+    with pytest.warns(UserWarning, match="2 rows have no score"):
+        assert auc.auroc(df, "s", "y").first()["auc"] == 1.0
+
+
+def test_unlisted_clones_need_no_logits(spark):
+    """A listed and a tabled selection agree: only the cells of listed clones must carry logits."""
+    rows = [(*r[:6], None if r[1] == "c0@0" else r[6]) for r in fx.cell_rows()]
+    fitted = fx.study(spark, rows, fit=True)
+    wanted = sorted({r[1] for r in rows} - {"c0@0"})
+    table = spark.createDataFrame([(c,) for c in wanted], "clonotype string")
+    for n_samples in (0, 2):
+        by_list, by_table = (joint.joint_table(fitted, clones=c, n_samples=n_samples, random_state=1).count()
+                             for c in (wanted, table))
+        assert by_list == by_table > 0

@@ -138,3 +138,23 @@ def test_load_cells_turns_nan_into_null(spark, tmp_path):
     assert got == {1: None, 2: 0.5}
     spark.createDataFrame([("a", 1)], "k string, v int").write.option("header", True).csv(str(tmp_path / "v"))
     assert tables.load_cells(spark, str(tmp_path / "v"), "csv", header=True).first()["k"] == "a"
+
+
+def test_duplicate_posterior_rows_are_refused(spark, study):
+    with pytest.raises(ValueError, match="2 rows for"):
+        study.with_posterior(study.posterior.unionByName(study.posterior), 3.0)
+
+
+def test_duplicate_evidence_fails_the_job(spark, study):
+    once = study.cells.select("cell_id", "logits")
+    assert study.with_evidence(once).cells.count() == study.cells.count()
+    with pytest.raises(Exception, match="two rows for one cell id"):
+        study.with_evidence(once.unionByName(once.limit(1))).cells.select("logits").collect()
+
+
+def test_resaved_session_forgets_the_old_fit(spark, study, tmp_path):
+    path = str(tmp_path / "again")
+    session.save_session(study, path)
+    assert session.load_session(spark, path).posterior is not None
+    session.save_session(fx.study(spark), path)
+    assert session.load_session(spark, path).posterior is None
