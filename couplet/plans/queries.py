@@ -192,8 +192,7 @@ def disjointness(spark, sf):
     """Clones that span groups: parts are sold by suppliers of many nations, so most do."""
     cells = views.read(spark, sf, "lineitem").select("l_partkey", "l_suppkey")
     places = views.geography(spark, sf, "s_suppkey", "supplier", "s_nationkey")
-    pairs = cells.join(F.broadcast(places) if places.count() < 1_000_000 else places,
-                       F.col("l_suppkey") == F.col("s_suppkey"))
+    pairs = cells.join(places, F.col("l_suppkey") == F.col("s_suppkey"))
     spans = pairs.groupBy(F.col("l_partkey").alias(CLONE)).agg(F.min("nation").alias("lo"), F.max("nation").alias("hi"))
     return spans.where("lo <> hi")
 
@@ -585,12 +584,12 @@ def auc_documents(spark, sf):
 
 @query
 def auc_permutation(spark, sf):
-    return auc.auc_and_label_permutation(views.scored_documents(spark, sf), "n_chars", "quality", n_perm=20_000)["result"]
+    return auc.auc_and_label_permutation(views.scored_documents(spark, sf), "n_chars", "quality")["result"]
 
 
 @query
 def auc_bootstrap(spark, sf):
-    return auc.bootstrap_auc(views.scored_documents(spark, sf), "n_chars", "quality", n_boot=2_000)
+    return auc.bootstrap_auc(views.scored_documents(spark, sf), "n_chars", "quality")
 
 
 # -- estimation and evidence --------------------------------------------------------------------------------
@@ -751,7 +750,7 @@ def count_table_compare(spark, sf):
 
 @query
 def permutation_null(spark, sf):
-    return diagnose.permutation_null(orders_study(spark, sf), groupby="nation", n_perm=200, random_state=3)
+    return diagnose.permutation_null(orders_study(spark, sf), groupby="nation", random_state=3)
 
 
 @query
