@@ -21,6 +21,7 @@ from couplet.functions.vectors import (
 from couplet.operators.shared import (
     SHORT_LIST, LookupSide, clone_filter, in_requested_order, lookup_join, task_count, vector_sum,
 )
+from couplet.sources.store import ResultStore, stored_result
 from couplet.spec import CLONE, COVARIATE, PHENOTYPE, Study
 
 MAGNITUDE_FLOOR = 1e-6  # Fixed value: smallest total concentration.
@@ -303,11 +304,16 @@ def long(joint: DataFrame, phenotypes) -> DataFrame:
     return rows.select(*keys, F.get(labels, F.col("ordinal")).alias(PHENOTYPE), "ordinal", "value")
 
 
+@stored_result("joint_distribution")
 def joint_distribution(study: Study, *, covariate: str | None = None, n_samples: int = 0,
                        use_logits: bool = True, weighted: bool = False, clones=None,
                        temperature: float = 1.0, random_state: int | None = None,
-                       source: str = "model") -> dict:
-    """``{"table", "result"}`` with one column per phenotype; ``result`` averages the draws."""
+                       source: str = "model", store: ResultStore | None = None, key_added: str | None = None,
+                       inplace: bool = True) -> dict:
+    """``{"table", "result"}`` with one column per phenotype; ``result`` averages the draws.
+
+    Frames read back from a store are in no particular order.
+    """
     seed = pick_seed(random_state)
     joint = joint_table(study, covariate=covariate, n_samples=n_samples, use_logits=use_logits,
                         weighted=weighted, clones=clones, temperature=temperature, random_state=seed,

@@ -357,12 +357,12 @@ def oracles() -> dict[str, str]:
     out["joint_pair_level"] = _with(CT, FIT, f"joint AS ({pair.format('p')})") + _joint_out()
     out["joint_pair_level_weighted"] = _with(CT, FIT, f"joint AS ({pair.format('p * n_cells')})") + _joint_out()
     out["joint_cell_informed"] = _with(*model) + _joint_out()
-    out["joint_cell_informed_weighted"] = _with(*_model(unit_rows=False)) + _joint_out("covariate = 'pre'")
+    out["joint_cell_informed_weighted"] = _with(*_model(unit_rows=False)) + _joint_out()
     out["joint_tempered"] = _with(*_model(temperature=0.5)) + _joint_out()
     out["joint_gated"] = _with(*_model(gate=0.3)) + _joint_out()
     wide = ", ".join(f"round(max(CASE WHEN j = {j} THEN m END), {R}) AS \"{x}\"" for j, x in enumerate(PRIORITIES))
     out["joint_wide"] = _with(*model) + f"SELECT clonotype, {wide} FROM joint WHERE covariate = 'post' GROUP BY clonotype"
-    out["joint_long"] = _with(*model) + f"SELECT covariate, clonotype, phenotype, CAST(j AS BIGINT) AS ordinal, round(m, {R}) AS value FROM joint WHERE covariate = 'pre'"
+    out["joint_long"] = _with(*model) + f"SELECT covariate, clonotype, phenotype, CAST(j AS BIGINT) AS ordinal, round(m, {R}) AS value FROM joint"
     out["joint_selected_clones"] = _with(*model) + _joint_out("clonotype IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 
     out["mi_by_group"] = _mi("mi", "pre", *counts)
@@ -515,6 +515,7 @@ def oracles() -> dict[str, str]:
         f"SELECT phenotype, round(median(value), {R}) AS median FROM ent_value GROUP BY phenotype"
     out["plot_contrast_label"] = f"SELECT level_a, level_b, stars AS label, p FROM ({out['mi_stats']}) WHERE level_a = 'ASIA' AND level_b = 'EUROPE'"
     out["stored_result"] = out["nmi_min"]
+    out["stored_joint"] = out["joint_wide"]
     out["session_round_trip"] = _mi("nmi_min", "post", *model)
     out["imported_posterior"] = out["mi_model"]
     return out

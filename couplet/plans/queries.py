@@ -248,7 +248,7 @@ def joint_cell_informed(spark, sf):
 
 @query
 def joint_cell_informed_weighted(spark, sf):
-    return _labelled_joint(joint.joint_table(fitted_orders(spark, sf), covariate="pre", weighted=True))
+    return _labelled_joint(joint.joint_table(fitted_orders(spark, sf), weighted=True))
 
 
 @query
@@ -269,7 +269,7 @@ def joint_wide(spark, sf):
 
 @query
 def joint_long(spark, sf):
-    df = joint.joint_table(fitted_orders(spark, sf), covariate="pre")
+    df = joint.joint_table(fitted_orders(spark, sf))
     return joint.long(df, PRIORITIES).drop("draw")
 
 
@@ -282,7 +282,7 @@ def joint_selected_clones(spark, sf):
 
 @query
 def joint_draws(spark, sf):
-    return _labelled_joint_with_draw(joint.joint_table(fitted_orders(spark, sf), covariate="pre", n_samples=DRAWS, random_state=7))
+    return _labelled_joint_with_draw(joint.joint_table(fitted_orders(spark, sf), n_samples=DRAWS, random_state=7))
 
 
 def _labelled_joint_with_draw(df: DataFrame) -> DataFrame:
@@ -804,6 +804,14 @@ def stored_result(spark, sf):
     return store.mutual_information(target).select(*_MI)
 
 
+@query
+def stored_joint(spark, sf):
+    """The wide joint, written and read back."""
+    target = store.ResultStore(spark, f"{stage_folder(spark)}/couplet-results-{uuid.uuid4().hex}")
+    joint.joint_distribution(fitted_orders(spark, sf), covariate="post", store=target)
+    return store.joint_distribution(target)
+
+
 @query
 def session_round_trip(spark, sf):
     """Study saved and restored; the restored one is scored."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import inspect
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,12 +64,16 @@ class ResultStore:
         return f"{self.path}/{key}"
 
     def save(self, key: str, payload: dict, params: dict) -> None:
-        """Replace whatever the key held. The parameter row is written last and marks completion."""
+        """Replace what the key held. Frames go to a fresh sub-folder, which the parameter row, written last, names.
+
+        A save that stops half-way leaves the earlier result as it was; frames of earlier saves stay on disk.
+        """
         folder = self._folder(key)
         present = [f for f in FRAMES if payload.get(f) is not None]
-        stored = {"params": jsonable(params), "version": couplet.__version__, "frames": present}
+        part = f"save-{uuid.uuid4().hex}"
+        stored = {"params": jsonable(params), "version": couplet.__version__, "frames": present, "part": part}
         for frame in present:
-            payload[frame].write.mode("overwrite").parquet(f"{folder}/{frame}")
+            payload[frame].write.mode("errorifexists").parquet(f"{folder}/{part}/{frame}")
         self.spark.createDataFrame([(json.dumps(stored, sort_keys=True),)], "payload string") \
             .coalesce(1).write.mode("overwrite").json(f"{folder}/provenance")
 
@@ -84,7 +89,7 @@ class ResultStore:
         return json.loads(row["payload"])
 
     def frame(self, key: str, which: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self._folder(key)}/{which}")
+        return self.spark.read.parquet(f"{self._folder(key)}/{self.provenance(key)['part']}/{which}")
 
 
 def stored_result(tool: str) -> Callable:

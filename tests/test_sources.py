@@ -45,6 +45,17 @@ def test_store_replaces_renames_and_skips(spark, study, tmp_path):
         kept.frame("a/b", "table")
 
 
+def test_stored_joint_and_a_save_that_stops(spark, study, tmp_path):
+    kept = store.ResultStore(spark, str(tmp_path / "r"))
+    out = joint.joint_distribution(study, covariate="t0", store=kept)
+    stored = sorted(map(tuple, store.joint_distribution(kept).collect()))
+    assert stored == sorted(map(tuple, out["result"].collect())) and stored
+    broken = spark.range(1).select(F.raise_error(F.lit("lost")).cast("string").alias("clonotype"))
+    with pytest.raises(Exception, match="lost"):
+        kept.save("joint_distribution", {"table": broken, "result": broken}, {})
+    assert sorted(map(tuple, store.joint_distribution(kept).collect())) == stored
+
+
 def test_stats_frame_leaves_with_its_split(spark, study, tmp_path):
     """A re-run without a split no longer offers the older contrast."""
     kept = store.ResultStore(spark, str(tmp_path / "r"))
