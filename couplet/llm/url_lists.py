@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from couplet.operators.shared import materialise
 
-MAX_SEGMENTS = 6         # longest path prefix of a pattern, in segments; longer patterns are refused
 _URL = r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::\d*)?([^?#]*)"
 
 
@@ -32,13 +31,13 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, _URL, 2)
 
 
-def lookup_keys(url: Column) -> Column:
-    """All patterns that cover a url: its host and parent domains, and its path prefixes."""
+def lookup_keys(url: Column, segments: int) -> Column:
+    """All patterns that cover a url: its host and parent domains, and its path prefixes of up to ``segments``."""
     labels = F.split(host_of(url), r"\.")
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)),
                         lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     parts = F.filter(F.split(path_of(url), "/"), lambda s: s != "")
-    count = F.least(F.size(parts), F.lit(MAX_SEGMENTS))
+    count = F.least(F.size(parts), F.lit(segments))
     prefixes = F.when(count > 0, F.transform(
         F.sequence(F.lit(1), F.greatest(count, F.lit(1))),
         lambda i: F.concat(host_of(url), F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))) \
@@ -69,8 +68,10 @@ def judged_captures(captures: DataFrame, entries: DataFrame, id: str = "page_id"
     rows = captures.select(F.col(f"`{id}`").alias("id"), F.col(f"`{url}`").alias("url"),
                            F.col(f"`{day}`").cast("long").alias("day"))
     spans = materialise(validity_intervals(entries))
+    # No prefix beyond the longest pattern of the list can match: one number on the driver.
+    longest = spans.agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0
     seen = rows.where("url is not null and day is not null").select("url", "day").distinct()
-    keyed = materialise(seen.select("url", "day", F.explode(lookup_keys(F.col("url"))).alias("pattern")))
+    keyed = materialise(seen.select("url", "day", F.explode(lookup_keys(F.col("url"), longest)).alias("pattern")))
     asked = keyed.select("day", "pattern").distinct()
     active = materialise(asked.join(spans, "pattern").where(
         (F.col("since") <= F.col("day")) & (F.col("until").isNull() | (F.col("day") < F.col("until"))))

@@ -206,6 +206,16 @@ def test_url_lists_by_day(spark):
     assert [(r.pattern, r.since) for r in got if r.page_id == 5] == [("ok.org/x", 5)]
 
 
+def test_url_lists_take_patterns_of_any_length(spark):
+    deep = "deep.org/" + "/".join("abcdefgh")
+    entries = spark.createDataFrame([(deep, 5, "add")], "pattern string, day int, action string")
+    urls = [f"http://{deep}", f"http://{deep}/i/j?q", f"http://{deep}i", "http://deep.org/a/b/c/d/e/f/g", "http://deep.org"]
+    captures = spark.createDataFrame([(i, u, 6) for i, u in enumerate(urls)], "page_id long, url string, day int")
+    got = url_lists.judged_captures(captures, entries).collect()
+    assert {(r.page_id, r.n_matches, r.pattern) for r in got if r.blocked} == {(0, 1, deep), (1, 1, deep)}
+    assert url_lists.judged_captures(captures, entries.where("false")).where("not blocked").count() == len(urls)
+
+
 def test_archives_round_trip(spark):
     big, other = "<p>hello world</p>" * 20, "ü" * 3000
     rows = [(i, f"http://a/{i}", big if i % 3 else other + str(i)) for i in range(40)]
