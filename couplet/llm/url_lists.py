@@ -11,7 +11,8 @@ Captures are reduced to distinct (key, day) before they meet the intervals, and
 
 Nulls and edges: an entry without a pattern, day or action is ignored; of several entries for a
 pattern on one day, a removal wins. A capture without a url or a day matches nothing. Repeated rows
-are judged alike. Hosts compare in lower case; user, port, query and fragment don't count.
+are judged alike. Hosts compare in lower case, paths in their own; user, port, query, fragment and empty path
+segments (so a pattern's last slash too) don't count.
 """
 
 from __future__ import annotations
@@ -31,6 +32,13 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, _URL, 2)
 
 
+def normal_pattern(pattern: Column) -> Column:
+    """A pattern as ``lookup_keys`` writes it: host in lower case, path in its own, no empty segments."""
+    parts = F.split(pattern, "/")
+    path = F.filter(F.slice(parts, 2, F.size(parts)), lambda s: s != "")
+    return F.nullif(F.array_join(F.concat(F.array(F.lower(parts[0])), path), "/"), F.lit(""))
+
+
 def lookup_keys(url: Column, segments: int) -> Column:
     """All patterns that cover a url: its host and parent domains, and its path prefixes of up to ``segments``."""
     labels = F.split(host_of(url), r"\.")
@@ -48,7 +56,7 @@ def lookup_keys(url: Column, segments: int) -> Column:
 def validity_intervals(entries: DataFrame, pattern: str = "pattern", day: str = "day",
                        action: str = "action") -> DataFrame:
     """``(pattern, since, until)``: the pattern is active from ``since`` to before ``until`` (null: still)."""
-    plain = entries.select(F.lower(F.col(f"`{pattern}`")).alias("pattern"), F.col(f"`{day}`").cast("long").alias("day"),
+    plain = entries.select(normal_pattern(F.col(f"`{pattern}`")).alias("pattern"), F.col(f"`{day}`").cast("long").alias("day"),
                            (F.col(f"`{action}`") == "add").alias("on"))
     daily = plain.where("pattern is not null and day is not null and on is not null") \
         .groupBy("pattern", "day").agg(F.min("on").alias("on"))       # one row per pattern and day at most

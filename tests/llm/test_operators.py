@@ -216,6 +216,18 @@ def test_url_lists_take_patterns_of_any_length(spark):
     assert url_lists.judged_captures(captures, entries.where("false")).where("not blocked").count() == len(urls)
 
 
+def test_url_lists_keep_the_case_of_paths(spark):
+    entries = spark.createDataFrame(
+        [("Site.ORG/News", 5, "add"), ("slash.net/", 5, "add"), ("Slash.com/A/", 5, "add"), ("slash.com/A", 8, "remove"),
+         ("/", 5, "add"), ("", 5, "add")], "pattern string, day int, action string")
+    rows = [(1, "http://site.org/News/1", 6), (2, "http://SITE.org/news", 6), (3, "http://slash.net", 6), (4, "http://slash.net/b", 6),
+            (5, "http://slash.com/A", 6), (6, "http://slash.com/A/c", 7), (7, "http://slash.com/a", 6), (8, "http://slash.com/A", 8),
+            (9, "http://dot./", 6)]
+    captures = spark.createDataFrame(rows, "page_id long, url string, day int")
+    got = {r.page_id: r.pattern for r in url_lists.judged_captures(captures, entries).collect() if r.blocked}
+    assert got == {1: "site.org/News", 3: "slash.net", 4: "slash.net", 5: "slash.com/A", 6: "slash.com/A"}
+
+
 def test_archives_round_trip(spark):
     big, other = "<p>hello world</p>" * 20, "ü" * 3000
     rows = [(i, f"http://a/{i}", big if i % 3 else other + str(i)) for i in range(40)]

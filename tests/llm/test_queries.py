@@ -2,6 +2,7 @@
 
 import re
 
+import duckdb
 import pytest
 
 import corpus_pipeline
@@ -17,6 +18,16 @@ def test_query_equals_sql(spark, name):
     assert verdict == "ok" and rows > 0
 
 
+def test_url_lists_equal_sql_with_capitals(spark, tmp_path):
+    pages = spark.range(400).selectExpr("id AS page_id", "concat('http://H', id % 40, '.org/', "
+                                        "if(id % 3 = 0, 'News', 'news'), id % 7, '/x') AS url")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    verdict, _, rows = compare(spark, con, "op7_url_lists", str(tmp_path))
+    assert verdict == "ok" and rows == 400
+
+
 def test_shards_query_law(spark):
     rows = queries.op1_balanced_shards(spark, SF).collect()
     counts = [sum(r.shard == s for r in rows) for s in range(40)]
