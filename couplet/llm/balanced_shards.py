@@ -1,8 +1,8 @@
 """Sharding by balanced label propagation.
 
 Linked documents move round by round to the shard where most of their neighbours are, as far as the
-shards have room: joins count the votes of every link, each document proposes its best shard, and
-per-shard quotas accept the proposals, whole links first. Documents that nothing links fill the
+shards have room: aggregates count the votes of every link, each document proposes its best shard, and
+quotas per pair of shards accept the proposals, links in one order, until no document moves. Documents that nothing links fill the
 gaps at the end, so row counts differ by at most one and no link is cut for the sake of balance
 unless its shard is full.
 
@@ -16,14 +16,12 @@ unlinked rows. Repeated rows are separate members. Fewer rows than shards leave
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from couplet.operators.shared import materialise
 
-ROUNDS = 4
 PART = 200_000
-VOTES = 3                # best shards per link that take part in the vote
-QUOTA_CELLS = 1024       # proposals for a shard are accepted by so many hash cells
 ROWS_PER_CELL = 50_000   # rows numbered within one window
 
 
@@ -39,44 +37,146 @@ def _numbered(rows: DataFrame, group: list[str], order: list[Column], cells: int
         .withColumn("number", F.col("__rank") + F.col("__before")).drop("__cell", "__rank", "__before")
 
 
-def propagate(members: DataFrame, shards: int, capacity: int, rounds: int = ROUNDS) -> DataFrame:
-    """``(node, shard)`` of the nodes of ``members (node, link)`` after ``rounds`` of propagation.
+def move_quotas(wishes: list[list[int]], free: list[int]) -> list[list[int]]:
+    """How many of ``wishes[i][j]`` may move from shard i to j, given the ``free`` places of each shard.
+
+    Departures make room for arrivals of the same round. Afterwards no shard that has room left, and
+    no cycle of full shards, has wishes left over.
+    """
+    asked = np.array(wishes, dtype=np.int64)
+    room, q = np.array(free, dtype=np.int64), asked.copy()
+    np.fill_diagonal(q, 0)
+    asked = q.copy()
+    while True:                                # shrink what overfills a shard, evenly over where it comes from
+        over = q.sum(axis=0) - q.sum(axis=1) - room
+        j = int(over.argmax())
+        if over[j] <= 0:
+            break
+        q[:, j] = q[:, j] * (q[:, j].sum() - over[j]) // q[:, j].sum()
+    moved = True
+    while moved:                               # fill places that rounding or later departures left
+        moved = False
+        for j in range(len(room)):
+            for i in range(len(room)):
+                more = min(asked[i, j] - q[i, j], room[j] + q[j].sum() - q[:, j].sum())
+                if more > 0:
+                    q[i, j] += more
+                    moved = True
+    while cycle := _cycle(asked - q):          # full shards swap
+        more = min(asked[i, j] - q[i, j] for i, j in cycle)
+        for i, j in cycle:
+            q[i, j] += more
+    return q.tolist()
+
+
+def _cycle(left: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of some cycle of positive entries; empty if there is none."""
+    done: set[int] = set()
+    for start in range(len(left)):
+        path, turns = [start], [iter(np.flatnonzero(left[start] > 0).tolist())]
+        while path:
+            j = next(turns[-1], None)
+            if j is None:
+                done.add(path.pop())
+                turns.pop()
+            elif j in path:
+                ring = path[path.index(j):]
+                return list(zip(ring, [*ring[1:], j]))
+            elif j not in done:
+                path.append(j)
+                turns.append(iter(np.flatnonzero(left[j] > 0).tolist()))
+    return []
+
+
+def _gathered(units: DataFrame, free: list[int]) -> DataFrame:
+    """Moves ``(home, shard, to, n, take)`` that bring cut links together in a shard with room for what it lacks."""
+    room = F.array(*[F.lit(x) for x in free])
+    total = units.groupBy("home").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+    widest = F.lit(free.index(max(free)))                  # of the shards without a member only this one counts
+    options = units.select("home", F.col("shard").alias("to"), F.col("n").alias("held")) \
+        .unionByName(total.select("home", widest.alias("to"), F.lit(0).cast("long").alias("held"))) \
+        .groupBy("home", "to").agg(F.max("held").alias("held")).join(total, "home") \
+        .withColumn("lacks", F.col("total") - F.col("held")).where(F.col("lacks") <= room[F.col("to")])
+    best = options.groupBy("home").agg(F.max(F.struct("held", F.xxhash64("home", "to").alias("turn"), "to", "lacks")).alias("w")) \
+        .select("home", "w.to", "w.lacks")
+    upto = Window.partitionBy("to").orderBy("lacks", F.xxhash64("home"), "home")   # smallest first: none that fits is passed over
+    fits = best.withColumn("sum", F.sum("lacks").over(upto)).where(F.col("sum") <= room[F.col("to")])
+    return materialise(units.join(fits.select("home", "to"), "home").where(F.col("shard") != F.col("to"))
+                       .select("home", "shard", "to", "n", F.col("n").alias("take")))
+
+
+def propagate(members: DataFrame, shards: int, capacity: int, rounds: int | None = None) -> DataFrame:
+    """``(node, shard)`` of the nodes of ``members (node, link)`` when no node moves any more.
 
     Nodes start at a hash of their id and move to the shard that most members of their links are in,
-    while it holds fewer than ``capacity`` nodes.
+    while it holds fewer than ``capacity`` nodes or others leave it in the same round. When none can,
+    links that are cut move as a whole to where they fit, and at last nodes to the best shard that has
+    room. ``rounds`` ends this earlier.
     """
-    home = materialise(members.groupBy("node").agg(F.min("link").alias("home"))
+    # Nodes with the same links vote alike, so votes and wishes are counts per (set of links, shard).
+    sets = members.groupBy("node").agg(F.sort_array(F.collect_set("link")).alias("links"))
+    home = materialise(sets.withColumn("home", F.when(F.size("links") == 1, F.col("links")[0]).otherwise(F.xxhash64("links")))
                        .withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")))
-    state = home
-    for _ in range(rounds):
-        load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
+    several = bool(home.where(F.size("links") > 1).limit(1).count())
+    of = materialise(home.where(F.size("links") > 1).select("home", F.explode("links").alias("link")).distinct()) if several else None
+    before, last, score, done = None, home.select("node", "home", "shard"), -1, 0
+    while rounds is None or done < rounds:
+        state, done = last, done + 1
+        units = materialise(state.groupBy("home", "shard").agg(F.count(F.lit(1)).alias("n")))
+        votes = units
+        if several:
+            # Every set of links meets the counts of each of its links; a set of one link is that link.
+            links = of.unionByName(units.join(of, "home", "left_anti").select("home", F.col("home").alias("link")).distinct())
+            tally = materialise(units.join(links, "home").groupBy("link", "shard").agg(F.sum("n").alias("n")))
+            now = tally.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0
+            if now <= score and before is not None:            # nodes of several links can swing; the last gain stays
+                last = before
+                break
+            before, score = state, now
+            votes = materialise(links.join(tally, "link").groupBy("home", "shard").agg(F.sum("n").alias("n")))
+        load = {r["shard"]: r["n"] for r in units.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
         free = [max(0, capacity - load.get(s, 0)) for s in range(shards)]      # one number per shard
-        room = F.array(*[F.lit(float(x)) for x in free])
-        placed = members.join(state.select("node", "shard"), "node")
-        tally = placed.groupBy("link", "shard").agg(F.count(F.lit(1)).alias("n"))
-        # A full shard keeps its votes only for those already there.
-        ranked = tally.groupBy("link").agg(F.collect_list(F.struct("n", "shard")).alias("all"))   # at most one per shard
-        best = ranked.select("link", F.slice(F.reverse(F.array_sort("all")), 1, VOTES).alias("votes"))
-        votes = placed.join(best, "link").select("node", F.col("shard").alias("now"), F.explode("votes").alias("v")) \
-            .groupBy("node", "now", F.col("v.shard").alias("to")).agg(F.sum("v.n").alias("votes"))
-        open_to = (F.col("to") == F.col("now")) | (room[F.col("to")] > 0)
+        room = F.array(*[F.lit(x) for x in free])
         # Ties go to the shard that comes first for the whole link, else pairs would swap places for ever.
-        chosen = votes.where(open_to).join(state.select("node", "home"), "node").groupBy("node", "now", "home").agg(
-            F.max(F.struct("votes", F.xxhash64("home", "to").alias("turn"), "to")).alias("w"))
-        wish = chosen.where("w.to != now").select("node", F.col("w.to").alias("to"), "home")
-        wish = wish.withColumn("cell", F.pmod(F.xxhash64("home"), F.lit(QUOTA_CELLS)))
-        wish = materialise(wish)
-        upto = Window.partitionBy("to").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-        granted = wish.groupBy("to", "cell").agg(F.count(F.lit(1)).alias("n")) \
-            .select("to", "cell", (F.sum("n").over(upto) <= room[F.col("to")]).alias("ok")).where("ok").drop("ok")
-        moves = wish.join(granted, ["to", "cell"]).select("node", F.col("to").alias("moved"))
-        state = materialise(state.join(moves, "node", "left").select(
+        rated = votes.select("home", "shard", F.struct("n", F.xxhash64("home", "shard").alias("turn"), "shard").alias("vote"))
+        granted = None
+        for target in (rated, None, rated.where(room[F.col("shard")] > 0)):
+            if target is None:
+                granted = _gathered(units, free)
+                if granted.limit(1).count():
+                    break
+                granted = None
+                continue
+            best = target.groupBy("home").agg(F.max("vote").alias("best"))
+            wish = materialise(units.join(rated, ["home", "shard"]).join(best, "home").where("best > vote")
+                               .select("home", "shard", F.col("best.shard").alias("to"), "n"))
+            asked = [[0] * shards for _ in range(shards)]
+            for r in wish.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect():   # one number per pair of shards
+                asked[r["shard"]][r["to"]] = r["n"]
+            if target is rated and not any(map(any, asked)):       # every node is where it wants to be
+                break
+            quota = move_quotas(asked, free)
+            if any(map(any, quota)):
+                # Links in one order everywhere, so that the first move whole; the last one of a pair of shards in part.
+                order = Window.partitionBy("shard", "to").orderBy(F.xxhash64("home"), "home")
+                allowed = F.array(*[F.array(*[F.lit(x) for x in row]) for row in quota])[F.col("shard")][F.col("to")]
+                ahead = F.sum("n").over(order) - F.col("n")
+                granted = wish.select("home", "shard", "to", "n", F.least("n", allowed - ahead).alias("take")).where("take > 0")
+                break
+        if granted is None:
+            break
+        granted = materialise(granted)
+        whole = state.join(granted.where("take = n"), ["home", "shard"]).select("node", F.col("to").alias("moved"))
+        rank = F.row_number().over(Window.partitionBy("home", "shard").orderBy(F.xxhash64("node"), "node"))
+        cut = state.join(granted.where("take < n"), ["home", "shard"]).withColumn("rank", rank).where("rank <= take") \
+            .select("node", F.col("to").alias("moved"))         # at most one set of links per pair of shards
+        last = materialise(state.join(whole.unionByName(cut), "node", "left").select(
             "node", "home", F.coalesce("moved", "shard").alias("shard")))
-    return state.select("node", "shard")
+    return last.select("node", "shard")
 
 
 def balanced_shards(docs: DataFrame, shards: int = 40, id: str = "doc_id", text: str = "text",
-                    rounds: int = ROUNDS, part: int = PART) -> DataFrame:
+                    rounds: int | None = None, part: int = PART) -> DataFrame:
     """``(id, size, text_crc32, link_size, shard, slot)``; equal texts are linked.
 
     ``slot`` numbers the rows of a shard from 0 without gaps; row counts differ by at most one.

@@ -171,6 +171,45 @@ def test_shards_are_even_and_gapless(spark, docs):
     assert balanced_shards.balanced_shards(many.limit(3), shards=7).count() == 3
 
 
+def test_full_shards_swap_nodes(spark):
+    at = spark.range(200).select("id", F.pmod(F.xxhash64("id"), F.lit(2)).alias("s")).collect()
+    left, right = ([r.id for r in at if r.s == s] for s in range(2))
+    links = {1: left[:3] + right[:1], 2: right[1:4] + left[3:4]}               # both shards are full
+    members = spark.createDataFrame([(n, k) for k, nodes in links.items() for n in nodes], "node long, link long")
+    got = {r.node: r.shard for r in balanced_shards.propagate(members, 2, 4).collect()}
+    assert [{got[n] for n in nodes} for nodes in links.values()] == [{0}, {1}]
+
+
+def test_crowded_groups_come_together(spark):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(
+        F.lit("t"), F.when(F.col("id") < 1500, F.col("id") % 15).otherwise(F.col("id") % 300)).alias("text"))
+    many = rows.unionByName(spark.range(5000, 5600).select(F.col("id").alias("doc_id"), F.concat(F.lit("alone"), "id").alias("text")))
+    text = {r.doc_id: r.text for r in many.collect()}
+    placed = {}
+    for r in balanced_shards.balanced_shards(many, shards=8).collect():
+        placed.setdefault(text[r.doc_id], set()).add(r.shard)
+    groups = [v for t, v in placed.items() if t.startswith("t")]
+    assert sum(len(v) == 1 for v in groups) >= 0.97 * len(groups)
+
+
+def test_nodes_of_several_links_settle(spark):
+    pairs = [(n, n // 10) for n in range(100)] + [(n, 50 + n % 7) for n in range(0, 100, 9)]
+    members = spark.createDataFrame(pairs, "node long, link long")
+    got = {r.node: r.shard for r in balanced_shards.propagate(members, 4, 30).collect()}
+    assert len(got) == 100 and max(list(got.values()).count(s) for s in range(4)) <= 30
+
+
+def test_quotas_of_moves_keep_the_room():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        wishes, free = rng.integers(0, 9, (6, 6)), rng.integers(0, 5, 6)
+        q = np.array(balanced_shards.move_quotas(wishes.tolist(), free.tolist()))
+        np.fill_diagonal(wishes, 0)
+        assert (q >= 0).all() and (q <= wishes).all() and (q.sum(axis=0) - q.sum(axis=1) <= free).all()
+        assert not balanced_shards._cycle(wishes - q)
+    assert balanced_shards.move_quotas([[0, 10, 0], [1, 0, 0], [0, 10, 0]], [0, 0, 0]) == [[0, 1, 0], [1, 0, 0], [0, 0, 0]]
+
+
 def test_raking_meets_its_targets(spark):
     cells = spark.createDataFrame([("a", "x", 50), ("a", "y", 10), ("b", "x", 20), ("b", "y", 20), (None, "x", 5)],
                                   "source string, lang string, tokens long")
