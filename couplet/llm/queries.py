@@ -32,7 +32,8 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     narrow = materialise(table(spark, sf_dir, "documents").select(
         "doc_id", "source", "lang", mixing.topic_of(text).alias("topic"), mixing.word_count(text).alias("tokens")))
-    sampled = mixing.mix_documents(narrow, 0.5, topic=F.col("topic"), tokens=F.col("tokens"))
+    sampled = mixing.mix_documents(narrow, 0.5, topic=F.col("topic"), tokens=F.col("tokens"),
+                                   sweeps=mixing.SWEEPS, rounds=mixing.CAP_ROUNDS)      # as its SQL has it
     return sampled.select("doc_id", "source", "lang", "topic", "tokens", (F.round("__p", 8) + F.lit(0.0)).alias("p"))
 
 

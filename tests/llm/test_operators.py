@@ -224,6 +224,32 @@ def test_raking_meets_its_targets(spark):
     assert sum(r.p * r.tokens for r in p) == pytest.approx(0.5 * 105)
 
 
+def test_raking_goes_on_until_targets_are_met(spark):
+    rows = [(f"s{i}", f"l{j}", (4000 if i == 0 else 500) * (85 if i % 2 == j else 15)) for i in range(4) for j in range(2)]
+    cells = spark.createDataFrame(rows, "source string, lang string, tokens long")
+    targets = {d: mixing.tempered(cells, d, 0.5) for d in ("source", "lang")}
+    got = mixing.rake(cells, targets).collect()                        # the defaults that queries use
+    for d, target in targets.items():
+        for r in target.collect():
+            assert sum(x.share for x in got if x[d] == r.value) == pytest.approx(r.share, rel=1e-9)
+
+
+def test_raking_reports_targets_that_exclude_each_other(spark):
+    cells = spark.createDataFrame([("a", "x", 50), ("b", "y", 10)], "source string, lang string, tokens long")
+    goal = {"source": [("a", .5), ("b", .5)], "lang": [("x", .8), ("y", .2)]}
+    targets = {d: spark.createDataFrame(v, "value string, share double") for d, v in goal.items()}
+    with pytest.warns(UserWarning, match="off by"):
+        mixing.rake(cells, targets).collect()
+
+
+def test_caps_go_on_until_no_cell_is_left(spark):
+    rows = [(int(1000 * 1.1 ** k), 0.3 ** k) for k in range(20)]       # more than eight rounds cap further cells
+    total, shares = (sum(r[i] for r in rows) for i in range(2))
+    cells = spark.createDataFrame([(t, s / shares) for t, s in rows], "tokens long, share double")
+    p = mixing.probabilities(cells, 0.9).collect()
+    assert sum(r.p * r.tokens for r in p) == pytest.approx(0.9 * total, rel=1e-9)
+
+
 def test_mixing_handles_nulls_and_empty_tables(spark, docs):
     out = mixing.mix_documents(docs, 0.9)
     assert set(docs.columns) <= set(out.columns) and out.count() <= docs.count()
