@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from couplet.llm.host_rules import BASE_RULES, HOST_LIMIT, HOST_RULES
-from couplet.llm.mixing import CAP_ROUNDS, SWEEPS, TEMPERS
+from couplet.llm.mixing import TEMPERS, TOLERANCE
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -82,22 +82,27 @@ def _op3(fraction: float = 0.5, seed: int = 17) -> str:
     joins = " ".join(f"LEFT JOIN g_{x} ON g_{x}.value IS NOT DISTINCT FROM c.{x}" for x in dims)
     steps.append("s0 AS MATERIALIZED (SELECT c.*, " + ", ".join(f"g_{x}.goal AS goal_{x}" for x in dims)
                  + f", tokens AS share FROM c {joins})")
-    k = 0
-    for _ in range(SWEEPS):
-        for x in dims:
-            steps.append(f"""s{k + 1} AS MATERIALIZED (SELECT * REPLACE (coalesce(share * goal_{x}
-                / nullif(sum(share) OVER (PARTITION BY {x}), 0), 0) AS share) FROM s{k})""")
-            k += 1
-    steps.append(f"""r AS MATERIALIZED (SELECT source, lang, topic, tokens, share / sum(share) OVER () AS share,
-        CASE WHEN tokens > 0 THEN share / sum(share) OVER () / tokens ELSE 0 END AS ratio FROM s{k})""")
-    steps.append(f"k0 AS (SELECT {fraction} * sum(tokens) AS scale, {fraction} * sum(tokens) AS budget FROM r)")
-    for i in range(CAP_ROUNDS):
-        steps.append(f"""k{i + 1} AS MATERIALIZED (SELECT greatest(any_value(scale), coalesce((any_value(budget)
-            - coalesce(sum(tokens) FILTER (ratio * scale >= 1), 0)) / nullif(sum(share) FILTER (ratio * scale < 1), 0), 0)) AS scale,
-            any_value(budget) AS budget FROM r, k{i})""")
-    return "WITH " + ",\n".join(steps) + f"""
+    turn = "s"
+    for x in dims:
+        turn = f"""(SELECT * REPLACE (coalesce(share * goal_{x} / nullif(sum(share) OVER (PARTITION BY {x}), 0), 0) AS share)
+            FROM {turn} q)"""
+    off = ", ".join(f"coalesce(abs(sum(share) OVER (PARTITION BY {x}) / nullif(goal_{x}, 0) - 1), 0)" for x in dims)
+    # One sweep a step, until every marginal is met.
+    steps.append(f"""s AS (SELECT 0 AS step, 1e9::DOUBLE AS error, * FROM s0 UNION ALL
+        SELECT step + 1, max(e) OVER (), * EXCLUDE (step, error, e) FROM (
+            SELECT *, CASE WHEN share > 0 THEN greatest({off}) ELSE 0 END AS e FROM {turn} t WHERE error > {TOLERANCE}) u)""")
+    steps.append("""r AS MATERIALIZED (SELECT source, lang, topic, tokens, share / sum(share) OVER () AS share,
+        CASE WHEN tokens > 0 THEN share / sum(share) OVER () / tokens ELSE 0 END AS ratio
+        FROM s WHERE step = (SELECT max(step) FROM s))""")
+    # Cells from the largest ratio down: the first whose ratio stays below 1 once all before it are full sets the scale.
+    steps.append(f"""k AS MATERIALIZED (SELECT ratio, ({fraction} * sum(tokens) OVER () - coalesce(sum(tokens) OVER before, 0))
+            / nullif(sum(share) OVER () - coalesce(sum(share) OVER before, 0), 0) AS scale,
+            row_number() OVER (ORDER BY ratio DESC) AS pos
+        FROM r WINDOW before AS (ORDER BY ratio DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""")
+    return "WITH RECURSIVE " + ",\n".join(steps) + f"""
 SELECT doc_id, d.source, d.lang, d.topic, d.tokens, round(least(1, ratio * scale), 8) AS p
-FROM k{CAP_ROUNDS}, d JOIN r ON r.source IS NOT DISTINCT FROM d.source AND r.lang IS NOT DISTINCT FROM d.lang AND r.topic = d.topic
+FROM (SELECT arg_min(scale, pos) AS scale FROM k WHERE ratio * scale < 1) z, d
+    JOIN r ON r.source IS NOT DISTINCT FROM d.source AND r.lang IS NOT DISTINCT FROM d.lang AND r.topic = d.topic
 WHERE ('0x' || substr(md5('{seed}/' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT / 281474976710656.0 < least(1, ratio * scale)"""
 
 
