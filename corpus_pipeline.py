@@ -31,8 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    sampled = mixing.mix_documents(docs, MIX_FRACTION)
-    return sampled.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mixing.mix_documents(docs, MIX_FRACTION, added=False)
 
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
