@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 import corpus_pipeline
-from couplet.llm import (balanced_shards, host_rules, line_crf, mixing, near_vectors, odd_sketch, pieces, reply_trees,
-                         url_lists, warc)
+from couplet.llm import (balanced_shards, cross_tokens, hard_negatives, host_rules, line_crf, mixing, near_vectors, odd_sketch,
+                         pieces, reply_trees, toxicity, url_lists, warc)
 from couplet.llm.sql import ORACLES
 from couplet.operators.shared import materialise
 
@@ -115,10 +115,38 @@ def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label)
+
+
+BYTE_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def op12_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pair = cross_tokens.TokenizerPair(BYTE_VOCABULARY, corpus_pipeline.PIECE_MODEL)
+    shown = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
+    aligned = cross_tokens.align(table(spark, sf_dir, "documents"), pair, keep=["doc_id"]).withColumn(
+        "groups_sha256", F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise(F.lit("")))
+    aligned = materialise(aligned.select(*shown, "pairs", "pair_links", F.monotonically_increasing_id().alias("row")))
+    scores = cross_tokens.link_scores(aligned, materialise(cross_tokens.pair_counts(aligned, pair)), "row")
+    zero = F.lit(0).cast("long")
+    return aligned.join(scores, "row", "left").select(
+        *shown, F.coalesce("n_best", zero).alias("n_best"), F.coalesce("count_sum", zero).alias("count_sum"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return scored.select("doc_id", (toxicity.fold_of(F.col("doc_id")) == 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def registry() -> dict[str, Query]:
     out = {f.__name__: f for f in (
         op1_balanced_shards, op2_near_vectors, op3_source_mixing, op4_host_rules, op5_line_crf, op6_sentencepiece,
-        op7_url_lists, op8_warc, op9_odd_sketch, op10_reply_trees)}
+        op7_url_lists, op8_warc, op9_odd_sketch, op10_reply_trees, op11_hard_negatives, op12_cross_tokens,
+        op13_toxicity)}
     out["pipeline"] = corpus_pipeline.run
     return out
 

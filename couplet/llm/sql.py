@@ -146,6 +146,21 @@ SELECT conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id"""
 
 
+OP11 = """
+WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS q
+    FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    s AS (SELECT a.id AS anchor, b.id, a.label = b.label AS same,
+              coalesce(list_sum([z[1] * z[2] FOR z IN list_zip(a.q, b.q)]), 0)::BIGINT AS score
+          FROM v a JOIN v b ON a.id % 100 = 0 AND a.id != b.id AND len(a.q) = len(b.q)),
+    p AS (SELECT anchor, id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5)
+SELECT anchor AS anchor_id, positive_id, row_number() OVER w AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 10"""
+
+
 ORACLES = {
     "op2_near_vectors": OP2,
     "op3_source_mixing": _op3(),
@@ -154,4 +169,5 @@ ORACLES = {
     "op8_warc": OP8,
     "op9_odd_sketch": OP9,
     "op10_reply_trees": _op10(),
+    "op11_hard_negatives": OP11,
 }
