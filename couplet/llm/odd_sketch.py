@@ -4,7 +4,7 @@ A document is its set of distinct word shingles. MinHash samples of the set are
 documents that share a band are candidates. The samples are also folded into a parity bitmap (odd
 sketch): the population count of the XOR of two bitmaps tells how many samples differ, and hence the
 similarity. Candidates whose sketches rule out the threshold by five standard deviations are
-dropped; all others are confirmed on the full sets.
+dropped, one by one or block against block; all others are confirmed on the full sets.
 
 Equal sets collapse to one representative first. Within a band every member is compared with three
 members that aggregates choose (smallest and largest id, smallest id hash); what these links connect
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from couplet.llm.components import components
 from couplet.llm.texts import Texts, annotate, as_signed, mix, windows
-from couplet.operators.shared import materialise
+from couplet.operators.shared import lookup_join, materialise
 
 BANDS, ROWS = 25, 5                 # a pair at similarity 0.8 shares a band with probability 0.99995
 SAMPLES = 128                       # MinHash samples of the sketch; the first BANDS * ROWS form bands
@@ -149,31 +149,69 @@ def similar_links(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percen
 _SKETCH = [f"__s{i}" for i in range(SKETCH_WORDS)]
 
 
-def cross_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, parts, sizes, and whether a row stands outside its band's main component."""
+    return tuple(table.column(c).to_numpy() for c in ("id", "part", "n", "outside"))
+
+
+def _may_reach(size_l: np.ndarray, size_r: np.ndarray, sketch_l: np.ndarray, sketch_r: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs whose sizes and sketches leave the threshold possible."""
+    small, large = np.minimum(size_l[:, None], size_r[None, :]), np.maximum(size_l[:, None], size_r[None, :])
+    hopeful = 100 * small >= percent * large
+    differing = np.zeros(hopeful.shape, np.int32)
+    for word in range(SKETCH_WORDS):
+        differing += np.bitwise_count(sketch_l[:, word, None] ^ sketch_r[None, :, word])
+    odd = np.maximum(1.0 - differing * (2.0 / SKETCH_BITS), 1.0 / SKETCH_BITS)
+    return hopeful & (1.0 + np.log(odd) * (SKETCH_BITS / (4.0 * SAMPLES)) >= sketch_floor(percent / 100))
+
+
+def cross_links(placed: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between band members outside their band's main component and all others of the band.
 
-    Both sides are dealt into blocks of bounded size, and a task counts the common
-    shingles of one pair of blocks by a matrix product, so pairs never become rows. Of the links of a
-    document with one component the first is enough.
+    Both sides are dealt into blocks of bounded size. A task first holds the sketches of one block against
+    those of another and names the members that may have a link there, leaving a pair to the first of the bands that it
+    shares; only their sets travel, and a second task per pair of blocks counts common shingles by a matrix
+    product. So pairs never become rows. Of the links of a document with one component the first is enough.
     """
     apart = F.col("part") != F.col("main")
     blocks_of = lambda inside: F.ceil(F.greatest(                                      # noqa: E731
         F.sum(F.when(inside, F.col("n"))) / BLOCK_SHINGLES, F.count(F.when(inside, 1)) / BLOCK_DOCUMENTS))
     busy = placed.groupBy("key").agg(blocks_of(F.lit(True)).alias("all_blocks"), blocks_of(apart).alias("apart_blocks")) \
         .where("apart_blocks > 0")
-    rows = placed.join(busy, "key")
+    rows = placed.join(busy, "key").join(sketches.select("id", "__bands", *_SKETCH), "id")
     dealt = lambda blocks: F.pmod(F.xxhash64("id"), F.col(blocks))                     # noqa: E731
     every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
-    left = rows.where(apart).select("key", "id", "part", dealt("apart_blocks").alias("i"), every("all_blocks").alias("j"),
+    carried = ["key", "id", "n", "part", "__bands", *_SKETCH]
+    left = rows.where(apart).select(*carried, dealt("apart_blocks").alias("i"), every("all_blocks").alias("j"),
                                     F.lit(True).alias("outside"))
-    right = rows.select("key", "id", "part", every("apart_blocks").alias("i"), dealt("all_blocks").alias("j"),
+    right = rows.select(*carried, every("apart_blocks").alias("i"), dealt("all_blocks").alias("j"),
                         F.lit(False).alias("outside"))
 
+    def screen(table: pa.Table) -> pa.Table:
+        ids, part, sizes, outside = _sides(table)
+        bits = np.stack([table.column(c).to_numpy() for c in _SKETCH], axis=1).view(np.uint64)
+        bands = table.column("__bands").combine_chunks().flatten().to_numpy().reshape(len(ids), BANDS)
+        earlier = int((bands[0] == table.column("key")[0].as_py()).argmax())        # bands before this one
+        lefts, rights = np.flatnonzero(outside), np.flatnonzero(~outside)
+        wanted = np.zeros(len(ids), bool)
+        for start in range(0, len(lefts), 256):
+            some = lefts[start:start + 256]
+            hopeful = _may_reach(sizes[some], sizes[rights], bits[some], bits[rights], percent) \
+                & (part[some][:, None] != part[rights][None, :])
+            x, y = np.nonzero(hopeful)
+            fresh = np.ones(len(x), bool)
+            for band in range(earlier):
+                fresh &= bands[some[x], band] != bands[rights[y], band]
+            wanted[some[x[fresh]]] = True
+            wanted[rights[y[fresh]]] = True
+        return table.select(["key", "i", "j", "id", "n", "part", "outside"]).filter(pa.array(wanted))
+
+    hopeful = materialise(left.unionByName(right).groupBy("key", "i", "j").applyInArrow(
+        screen, "key long, i long, j long, id long, n long, part long, outside boolean"))
+
     def compare(table: pa.Table) -> pa.Table:
-        outside = table.column("outside").to_numpy()
-        ids, part = table.column("id").to_numpy(), table.column("part").to_numpy()
+        ids, part, sizes, outside = _sides(table)
         lists = table.column("set").combine_chunks()
-        sizes = np.diff(lists.offsets.to_numpy())
         owner, flat = np.repeat(np.arange(len(ids)), sizes), lists.flatten().to_numpy()
         rank = np.where(outside, np.cumsum(outside) - 1, np.cumsum(~outside) - 1)
         mine, theirs = outside[owner], ~outside[owner]
@@ -200,8 +238,7 @@ def cross_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         a, b = ids[outside][x[first]], ids[~outside][y[first]]
         return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
-    return left.unionByName(right).join(sets, "id").groupBy("key", "i", "j") \
-        .applyInArrow(compare, "a long, b long").distinct()
+    return hopeful.join(sets, "id").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5,
@@ -216,9 +253,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     linked = (F.col("n_shingles") > 0) & F.col("id").isNotNull()
     signed = materialise(signed)
     # Equal sets are one class; its smallest id stands for it.
-    classes = signed.where(linked).groupBy("__sum", "__xor", "n_shingles").agg(F.min("id").alias("rep"))
-    members = materialise(signed.select("id", "n_shingles", "__sum", "__xor").where(linked)
-                          .join(classes, ["__sum", "__xor", "n_shingles"]).select("id", "n_shingles", "rep"))
+    content = ["__sum", "__xor", "n_shingles"]
+    classes = materialise(signed.where(linked).groupBy(*content).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("__rows")))
+    members = materialise(lookup_join(signed.select("id", *content).where(linked), classes, content, "__rows", row_bytes=96)
+                          .select("id", "n_shingles", "rep"))
     reps = materialise(
         signed.join(members.where("id = rep").select("id").distinct(), "id", "left_semi")
         .select("id", F.col("n_shingles").alias("n"), "__bands", *_SKETCH).dropDuplicates(["id"]))
@@ -232,8 +270,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     wanted = crowd.select("id").distinct()
     sets = materialise(annotate(plain.where("id is not null").join(wanted, "id", "left_semi"), "text",
                                 set_column(width), "set array<long>", ["id"]).dropDuplicates(["id"]))
-    sketches = reps.drop("__bands").join(wanted, "id", "left_semi")
-    sketches = materialise(sketches)
+    sketches = materialise(reps.join(wanted, "id", "left_semi"))
     chosen = crowd.select("id", F.explode(F.array("lo", "hi", "some")).alias("other")).where("id != other") \
         .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     links = materialise(similar_links(chosen, sketches, sets, percent))
@@ -244,7 +281,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
         .join(first.select(F.col("node").alias("lo"), F.col("component").alias("main")), "lo", "left")
     placed = materialise(at.select("key", "id", "n", F.coalesce("component", "id").alias("part"),
                                    F.coalesce("main", "lo").alias("main")))
-    more = materialise(cross_links(placed, sets, percent))
+    more = materialise(cross_links(placed, sketches, sets, percent))
     final = components(links.unionByName(more)) if more.limit(1).count() else first
 
     found = members.join(final.withColumnRenamed("node", "rep"), "rep", "left") \
