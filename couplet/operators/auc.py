@@ -2,9 +2,8 @@
 
 The scores never change, so each resample only redraws how many rows of every distinct score fall
 in a class. Distinct scores are cut into blocks of bounded size; a resample first splits its class
-totals over the blocks, then draws inside each block, and partial rank sums are added up. Which
-totals a block receives is recomputed from ``(seed, resample chunk)``, so tasks agree without
-exchanging anything.
+totals over the blocks down a tree, then draws inside each block, and partial rank sums are added up.
+A block's scores travel once, or a few times where there are fewer blocks than tasks.
 """
 
 from __future__ import annotations
@@ -19,11 +18,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from couplet.functions.sampling import hypergeometric, keyed_generator
 from couplet.operators.ranks import Ranked, midrank, ranked_values
+from couplet.operators.splitting import Law, block_totals, with_replacement, without_replacement
 from couplet.operators.shared import materialise
 
 # Distinct scores per block and resamples per task.
 BLOCK_SCORES = 50_000
 CHUNK = 2_000
+BOOT_CHUNK = 100
 _TOLERANCE = 1e-12
 
 
@@ -60,19 +61,46 @@ def auroc(df: DataFrame, scores: str, labels: str, pos_label=None) -> DataFrame:
     return sums.select(auc.alias("auc"), "n_pos", (F.col("n") - F.col("n_pos")).alias("n_neg"))
 
 
-def _blocks(ranked: Ranked, n_chunks: int, block_scores: int) -> tuple[DataFrame, list[tuple[int, int, int]]]:
-    """One row per (block, chunk) with the block's scores as arrays, and the block totals in order."""
-    rows = ranked.rows.select(F.floor(F.col("position") / block_scores).cast("int").alias("block"),
-                              "value", "n", "pos", midrank().alias("mid"))
+def _resampled(ranked: Ranked, n_draws: int, chunk_size: int, block_scores: int, seed: int, law: Law, start, weights: list,
+               columns: list[str], inside) -> DataFrame:
+    """``(draw, part)``: what every block adds to the rank sum of every resample.
+
+    ``start(chunk, width)`` gives the class totals of a chunk of resamples; ``inside(chunk, block, totals, *columns)`` the
+    sums of one block.
+    """
+    spark = ranked.rows.sparkSession
+    n_chunks, n_blocks = -(-n_draws // chunk_size), max(1, -(-ranked.distinct // block_scores))
+    rows = ranked.rows.select(F.floor(F.col("position") / block_scores).alias("block"), "value", "n", "pos", midrank().alias("mid"))
     blocks = rows.groupBy("block").agg(
         F.array_sort(F.collect_list(F.struct("value", "n", "pos", "mid"))).alias("rows"),  # <= block_scores entries
-        F.sum("n").cast("long").alias("total"), F.sum("pos").cast("long").alias("total_pos"))
-    blocks = materialise(blocks.select("block", "total", "total_pos", *[
-        F.col("rows")[c].alias(c) for c in ("n", "pos", "mid")]))
-    totals = [tuple(r) for r in blocks.select("block", "total", "total_pos").orderBy("block").collect()]
-    spread = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("chunk"),
-                           "block", "n", "pos", "mid")
-    return spread.repartition(max(1, min(n_chunks * len(totals), 10_000)), "block", "chunk"), totals
+        F.array(*weights).alias("weights"))
+    blocks = materialise(blocks.select("block", "weights", *[F.col("rows")[c].alias(c) for c in columns]))
+
+    def begin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            widths = [min(chunk_size, n_draws - c * chunk_size) for c in frame["id"]]
+            yield pd.DataFrame({"stratum": 0, "chunk": frame["id"], "width": widths, "totals": [
+                np.ascontiguousarray(start(c, w), np.int64).tobytes() for c, w in zip(frame["id"], widths)]})
+
+    tasks = min(n_chunks, 2 * spark.sparkContext.defaultParallelism)
+    roots = spark.range(0, n_chunks, 1, tasks).mapInPandas(begin, "stratum long, chunk long, width int, totals binary")
+    totals = block_totals(roots, blocks.select("block", "weights"), [], n_blocks, seed, law)
+    copies = max(1, min(n_chunks, -(-2 * spark.sparkContext.defaultParallelism // n_blocks)))
+    dealt = min(10_000, n_blocks * copies)
+    left = totals.withColumn("copy", F.pmod("chunk", F.lit(copies))).repartition(dealt, "block", "copy")
+    right = blocks.select("block", *columns, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))).alias("copy")) \
+        .repartition(dealt, "block", "copy")
+
+    def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(held):
+            return pd.DataFrame({"draw": [], "part": []})
+        data = [np.asarray(held[c].iloc[0]) for c in columns]
+        parts = [(row.chunk, inside(row.chunk, row.block, np.frombuffer(row.totals, np.int64).reshape(row.width, -1), *data))
+                 for row in asked.itertuples(index=False)]
+        return pd.DataFrame({"draw": np.concatenate([c * chunk_size + np.arange(len(p)) for c, p in parts] or [[]]),
+                             "part": np.concatenate([p for _, p in parts] or [[]])})
+
+    return left.groupBy("block", "copy").cogroup(right.groupBy("block", "copy")).applyInPandas(run, "draw long, part double")
 
 
 def _subset_rank_sums(rng, counts: np.ndarray, mids: np.ndarray, take: np.ndarray) -> np.ndarray:
@@ -81,8 +109,11 @@ def _subset_rank_sums(rng, counts: np.ndarray, mids: np.ndarray, take: np.ndarra
     out = np.empty(len(take))
     if n <= 4 * len(counts) and n <= 4 * BLOCK_SCORES:
         expanded = np.repeat(mids, counts)
-        for r, k in enumerate(take):
-            out[r] = rng.permutation(expanded)[:k].sum()
+        whole = expanded.sum()
+        for r, k in enumerate(take):                # the smaller side of the cut is drawn
+            few = min(k, n - k)
+            drawn = expanded[rng.choice(n, few, replace=False, shuffle=False)].sum()
+            out[r] = drawn if few == k else whole - drawn
         return out
     left = take.astype(np.int64).copy()
     rest = n
@@ -95,29 +126,12 @@ def _subset_rank_sums(rng, counts: np.ndarray, mids: np.ndarray, take: np.ndarra
     return out
 
 
-def _permutation_parts(ranked: Ranked, n_pos: int, n_perm: int, seed: int, block_scores: int) -> DataFrame:
-    n_chunks = -(-n_perm // CHUNK)
-    spread, totals = _blocks(ranked, n_chunks, block_scores)
-    sizes = {b: n for b, n, _ in totals}
-    order = [b for b, _, _ in totals]
+def _permutation_parts(ranked: Ranked, n_pos: int, n_neg: int, n_perm: int, seed: int, block_scores: int) -> DataFrame:
+    def inside(chunk, block, totals, counts, mids):
+        return _subset_rank_sums(keyed_generator(seed, 2, chunk, block), counts, mids, totals[:, 0])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for chunk, block, counts, _, mids in frame.itertuples(index=False):
-                width = min(CHUNK, n_perm - chunk * CHUNK)
-                rng = keyed_generator(seed, 1, chunk)
-                left = np.full(width, n_pos, np.int64)
-                rest = sum(sizes.values())
-                for b in order:
-                    rest -= sizes[b]
-                    take = hypergeometric(rng, np.full(width, sizes[b]), np.full(width, rest), left)
-                    if b == block:
-                        break
-                    left -= take
-                sums = _subset_rank_sums(keyed_generator(seed, 2, chunk, block), counts, mids, take)
-                yield pd.DataFrame({"draw": chunk * CHUNK + np.arange(width), "part": sums})
-
-    return spread.mapInPandas(run, "draw long, part double")
+    return _resampled(ranked, n_perm, CHUNK, block_scores, seed, without_replacement,
+                      lambda _, width: np.tile([n_pos, n_neg], (width, 1)), [F.sum("n").cast("long")], ["n", "mid"], inside)
 
 
 def _combination_at(n: int, k: int, index: int) -> list[int]:
@@ -183,7 +197,7 @@ def auc_and_label_permutation(df: DataFrame, scores: str, labels: str, *, pos_la
     if n_exact is not None and n_exact <= max_exact:
         parts, mode = _exact_parts(ranked, n, n_pos, n_exact), "exact"
     else:
-        parts, mode = _permutation_parts(ranked, n_pos, n_perm, seed, block_scores), "mc"
+        parts, mode = _permutation_parts(ranked, n_pos, n_neg, n_perm, seed, block_scores), "mc"
     sums = parts.groupBy("draw").agg(F.sum("part").alias("s"))
     auc = (F.col("s") - F.lit(n_pos * (n_pos + 1) / 2.0)) / F.lit(float(n_pos) * n_neg)
     stats = sums.select("draw", auc.alias("auc"))
@@ -203,39 +217,30 @@ def bootstrap_auc(df: DataFrame, scores: str, labels: str, *, pos_label=None, n_
     if seen["auc"] is None:
         raise ValueError("bootstrap needs both classes")
     n, n_pos = seen["n"], seen["n_pos"]
-    chunk_size = 500
-    n_chunks = -(-n_boot // chunk_size)
-    spread, totals = _blocks(ranked, n_chunks, block_scores)
-    order = [b for b, _, _ in totals]
-    pos_share = np.array([p for _, _, p in totals], float) / n_pos
-    neg_share = np.array([t - p for _, t, p in totals], float) / (n - n_pos)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for chunk, block, counts, pos_n, _ in frame.itertuples(index=False):
-                width = min(chunk_size, n_boot - chunk * chunk_size)
-                rng = keyed_generator(seed, 3, chunk)
-                pos = rng.binomial(n, n_pos / n, size=width)
-                while True:
-                    bad = (pos == 0) | (pos == n)
-                    if not bad.any():
-                        break
-                    pos[bad] = rng.binomial(n, n_pos / n, size=int(bad.sum()))
-                at = order.index(block)
-                pos_block = rng.multinomial(pos, pos_share)[:, at]
-                neg_all = rng.multinomial(n - pos, neg_share)
-                below, neg_block = neg_all[:, :at].sum(axis=1), neg_all[:, at]
-                neg_n = counts - pos_n
-                inner = keyed_generator(seed, 4, chunk, block)
-                part = pos_block * below.astype(float)
-                for r in range(width):
-                    p = inner.multinomial(pos_block[r], pos_n / max(1, pos_n.sum())) if pos_block[r] else np.zeros(len(counts))
-                    q = inner.multinomial(neg_block[r], neg_n / max(1, neg_n.sum())) if neg_block[r] else np.zeros(len(counts))
-                    part[r] += (p * (np.cumsum(q) - q / 2.0)).sum()
-                yield pd.DataFrame({"draw": chunk * chunk_size + np.arange(width),
-                                    "part": part / (pos * (n - pos).astype(float))})
-
-    parts = spread.mapInPandas(run, "draw long, part double")
+    def start(chunk: int, width: int) -> np.ndarray:
+        rng = keyed_generator(seed, 3, chunk)
+        pos = rng.binomial(n, n_pos / n, size=width)
+        while ((pos == 0) | (pos == n)).any():
+            bad = (pos == 0) | (pos == n)
+            pos[bad] = rng.binomial(n, n_pos / n, size=int(bad.sum()))
+        return np.column_stack([pos, n - pos, np.zeros(width, np.int64)])
+
+    def inside(chunk, block, totals, counts, pos_n):
+        rng = keyed_generator(seed, 4, chunk, block)
+        neg_n = counts - pos_n
+        part = totals[:, 0] * totals[:, 2].astype(float)
+        for r, (pos, neg, _) in enumerate(totals):
+            if pos and neg:
+                p = rng.multinomial(pos, pos_n / pos_n.sum())
+                q = rng.multinomial(neg, neg_n / neg_n.sum())
+                part[r] += (p * (np.cumsum(q) - q / 2.0)).sum()
+        of = start(chunk, len(totals))                  # the resample's own class totals, from its key
+        return part / (of[:, 0] * of[:, 1].astype(float))
+
+    pos, rows = F.sum("pos").cast("long"), F.sum("n").cast("long")
+    parts = _resampled(ranked, n_boot, BOOT_CHUNK, block_scores, seed, with_replacement, start, [pos, rows - pos],
+                       ["n", "pos"], inside)
     aucs = parts.groupBy("draw").agg(F.sum("part").alias("auc"))
     ends = aucs.agg(F.percentile("auc", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.count(F.lit(1)).alias("n_boot"))
     return ends.select(F.lit(seen["auc"]).alias("auc"), F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"), "n_boot")

@@ -9,12 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from couplet.functions.distances import resolve_distance
-from couplet.functions.sampling import hypergeometric, keyed_generator, permuted_table_terms
+from couplet.functions.sampling import keyed_generator, permuted_table_terms
 from couplet.functions.vectors import argmax_label, normalise, total
 from couplet.operators.joint import joint_table, pick_seed
 from couplet.operators.metrics import check_mode, from_terms, information_terms
 from couplet.operators.ranks import exact_quantiles
 from couplet.operators.shared import clone_filter, materialise, task_count
+from couplet.operators.splitting import block_totals, without_replacement
 from couplet.spec import CLONE, COVARIATE, PHENOTYPE, Study
 
 
@@ -127,8 +128,8 @@ def permutation_null(study: Study, *, metric: str = "mutual_information", covari
 
     Shuffling phenotypes with clone sizes fixed draws a random table with both margins fixed, and
     only its ``sum of x log2 x`` varies. So tasks receive clone sizes, not cells. A stratum's
-    clones are dealt over bounded blocks; the phenotype totals of a block are drawn from
-    ``(seed, stratum, chunk)``, identically in every task, and the partial sums are added.
+    clones are dealt over bounded blocks; the phenotype totals of the blocks are drawn down a
+    splitting tree, and the partial sums are added.
     """
     if metric != "mutual_information":
         raise ValueError("permutation_null supports metric='mutual_information' only")
@@ -156,34 +157,34 @@ def permutation_null(study: Study, *, metric: str = "mutual_information", covari
     blocks = sizes.groupBy(*keys, "block").agg(F.collect_list("n").alias("sizes"),   # about block_clones entries
                                                F.sum("n").alias("cells"))
     blocks = materialise(blocks)
-    shape = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", "cells"))).alias("totals"))
     margins = terms.select(*keys, F.array(*[F.col(f"__k{j}").cast("long") for j in range(size)]).alias("margin"))
     n_chunks = -(-n_perm // PERMUTATIONS_PER_TASK)
-    strata = shape.join(margins, keys)
-    work = blocks.join(strata, keys).select(
-        *keys, "block", "sizes", "totals", "margin", F.xxhash64(*keys).alias("stratum"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("chunk"))
+    drawn_by = ", ".join(f"`{k}` {ct.schema[k].dataType.simpleString()}" for k in keys) + ", stratum long, chunk long, width int"
+
+    def begin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            width = np.minimum(PERMUTATIONS_PER_TASK, n_perm - frame["chunk"] * PERMUTATIONS_PER_TASK)
+            frame["totals"] = [np.tile(np.asarray(m, np.int64), (w, 1)).tobytes() for m, w in zip(frame["margin"], width)]
+            yield frame.drop(columns="margin").assign(width=width)
+
+    roots = margins.select(*keys, F.xxhash64(*keys).alias("stratum"),
+                           F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_chunks - 1).cast("long"))).alias("chunk"), "margin") \
+        .mapInPandas(begin, f"{drawn_by}, totals binary")
+    held = blocks.select(*keys, F.col("block").cast("long").alias("block"), "sizes", F.array("cells").alias("weights"))
+    shares = block_totals(roots, held.select(*keys, "block", "weights"), keys, n_blocks, seed, without_replacement)
     tasks = task_count(study.spark, float(scale["cells"] or 0) * n_perm, TASK_SHUFFLED_CELLS)
-    work = work.repartition(tasks, *keys, "block", "chunk")
+    if n_blocks == 1:                       # a stratum may have no cells at all, and then no block
+        shares = shares.withColumn("block", F.lit(0).cast("long"))
+    work = shares.join(held.drop("weights"), [*keys, "block"]).repartition(tasks, *keys, "block", "chunk")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for row in frame.itertuples(index=False):
-                width = min(PERMUTATIONS_PER_TASK, n_perm - row.chunk * PERMUTATIONS_PER_TASK)
-                left = np.tile(np.asarray(row.margin, np.int64), (width, 1))
-                rng = keyed_generator(seed, row.stratum, row.chunk)
-                share = left
-                for block, cells in [(t["block"], t["cells"]) for t in row.totals]:
-                    share = _block_margin(rng, left, int(cells))
-                    if block == row.block:
-                        break
-                    left = left - share
                 inner = keyed_generator(seed, row.stratum, row.chunk, row.block + 1)
-                part = permuted_table_terms(inner, np.asarray(row.sizes), share)
-                labels = {k: getattr(row, k) for k in keys}
-                out.append(pd.DataFrame({**labels, "draw": row.chunk * PERMUTATIONS_PER_TASK + np.arange(width),
-                                         "part": part}))
+                part = permuted_table_terms(inner, np.asarray(row.sizes), np.frombuffer(row.totals, np.int64).reshape(row.width, -1))
+                out.append(pd.DataFrame({**{k: getattr(row, k) for k in keys},
+                                         "draw": row.chunk * PERMUTATIONS_PER_TASK + np.arange(row.width), "part": part}))
             if out:
                 yield pd.concat(out)
 
@@ -204,19 +205,6 @@ def permutation_null(study: Study, *, metric: str = "mutual_information", covari
                       ((1.0 + F.col("__reach")) / (1.0 + n_perm)).alias("p"), *labels)
 
 
-def _block_margin(rng: np.random.Generator, left: np.ndarray, cells: int) -> np.ndarray:
-    """Phenotype totals of a block of ``cells`` cells drawn from what is left, per permutation."""
-    remaining = np.full(left.shape[0], cells, np.int64)
-    rest = left.sum(axis=1)
-    share = np.zeros_like(left)
-    for j in range(left.shape[1] - 1):
-        rest = rest - left[:, j]
-        share[:, j] = hypergeometric(rng, left[:, j], rest, remaining)
-        remaining = remaining - share[:, j]
-    share[:, -1] = remaining
-    return share
-
-
 # -- estimator error ----------------------------------------------------------------------------------
 
 def estimator_errors(df: DataFrame, keys: list[str], *, estimate: str = "value", population: str = "population",
