@@ -106,7 +106,7 @@ def stored_result(tool: str) -> Callable:
             bound = signature.bind(study, **options)
             bound.apply_defaults()
             payload = metric(study, **options)
-            resolved = payload.pop("resolved", {})
+            resolved = payload.get("resolved", {})
             check_schema(tool, payload)
             target = bound.arguments.get("store")
             if target is not None and bound.arguments.get("inplace", True):
