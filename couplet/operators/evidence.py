@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import GaussianMixture, KMeans
-from pyspark.ml.feature import PCA, Normalizer, StandardScaler
+from pyspark.ml.feature import Normalizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -13,6 +13,7 @@ from couplet.functions.vectors import BASE_EPS, argmax_label, each, fold, softma
 from couplet.operators.joint import checked_logits, combine_weights
 from couplet.operators.metrics import check_mode, information_by
 from couplet.operators.shared import lookup_join
+from couplet.operators.subspace import principal_axes, projected
 from couplet.spec import CLONE, COVARIATE, PHENOTYPE, Study, count_table, levels_of
 
 
@@ -23,19 +24,15 @@ def _as_vector(df: DataFrame, column: str) -> DataFrame:
 
 
 def latent_representation(df: DataFrame, features: str = "features", *, k: int = 10, indices: DataFrame | None = None,
-                          on: str = "cell_id") -> DataFrame:
-    """Add ``latent``: leading principal components of the standardised features.
+                          on: str = "cell_id", width: int | None = None) -> DataFrame:
+    """Add ``latent``: leading principal components of the standardised features, largest variance first.
 
-    ``indices`` limits the returned cells (the embedding is always fitted on all of them).
+    ``indices`` limits the returned cells (the embedding is always fitted on all of them). Features may be sparse,
+    see ``principal_axes``. An axis points where its largest loading is positive.
     """
-    vectors = _as_vector(df, features)
-    model = Pipeline(stages=[
-        StandardScaler(inputCol=features, outputCol="__scaled", withMean=True, withStd=True),
-        PCA(k=k, inputCol="__scaled", outputCol="__pc"),
-    ]).fit(vectors)
-    wanted = vectors if indices is None else vectors.join(indices.select(on).distinct(), on, "left_semi")
-    out = model.transform(wanted).withColumn("latent", vector_to_array("__pc"))
-    return out.select(*[c for c in df.columns if c != features], "latent")
+    found = principal_axes(df, features, k=k, width=width)
+    wanted = df if indices is None else df.join(indices.select(on).distinct(), on, "left_semi")
+    return projected(wanted, found, features)
 
 
 def phenotype_logits(df: DataFrame, phenotypes, *, features: str = "latent", temperature: float = 1.0,
