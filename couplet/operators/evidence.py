@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Normalizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -12,7 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from couplet.functions.vectors import BASE_EPS, argmax_label, each, fold, softmax
 from couplet.operators.joint import checked_logits, combine_weights
 from couplet.operators.metrics import check_mode, information_by
-from couplet.operators.shared import lookup_join
+from couplet.operators.mixture import assigned, fit_mixture
+from couplet.operators.shared import lookup_join, materialise
 from couplet.operators.subspace import principal_axes, projected
 from couplet.spec import CLONE, COVARIATE, PHENOTYPE, Study, count_table, levels_of
 
@@ -119,7 +121,8 @@ def label_agreement(study: Study) -> DataFrame:
 
 def cluster_labels(df: DataFrame, *, k: int, features: str = "features", method: str = "kmeans", seed: int = 0,
                    target_sum: float = 1e4) -> DataFrame:
-    """Add ``cluster``: library-size normalise, standardise, then k-means or a Gaussian mixture."""
+    """Add ``cluster``: library-size normalise, standardise, then k-means, or from its centres a Gaussian mixture
+    with diagonal covariance."""
     if method not in ("kmeans", "gmm"):
         raise ValueError(f"method must be 'kmeans' or 'gmm', got {method!r}")
     vectors = _as_vector(df, features)
@@ -128,9 +131,12 @@ def cluster_labels(df: DataFrame, *, k: int, features: str = "features", method:
         StandardScaler(inputCol="__unit", outputCol="__z", withMean=True, withStd=True),
     ]).fit(vectors).transform(vectors)
     # the target library size scales every entry alike, which standardisation removes again
-    kind = KMeans if method == "kmeans" else GaussianMixture
-    model = kind(k=k, seed=seed, featuresCol="__z", predictionCol="cluster").fit(scaled)
-    return model.transform(scaled).select(*df.columns, "cluster")
+    model = KMeans(k=k, seed=seed, featuresCol="__z", predictionCol="cluster").fit(scaled)
+    if method == "kmeans":
+        return model.transform(scaled).select(*df.columns, "cluster")
+    table = materialise(scaled.select(*df.columns, vector_to_array("__z").alias("__z")))
+    mixture = fit_mixture(table, np.stack(model.clusterCenters()), "__z")
+    return assigned(table, mixture, "__z").select(*df.columns, "cluster")
 
 
 def cluster_nmi(df: DataFrame, *, k: int, clone: str = CLONE, features: str = "features", method: str = "kmeans",

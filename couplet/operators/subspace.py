@@ -43,7 +43,7 @@ class Axes:
     residual: float
 
 
-def _stored(df: DataFrame, features: str) -> tuple[Column, bool]:
+def stored(df: DataFrame, features: str) -> tuple[Column, bool]:
     """The features as an array or as indices and values, and whether they are sparse."""
     kind = df.schema[features].dataType
     if isinstance(kind, T.StructType):
@@ -60,7 +60,7 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0]
 
 
-class _Batch:
+class Batch:
     """Rows of a batch, dense or sparse, as factors of two products."""
 
     def __init__(self, column: pa.Array, width: int, sparse: bool):
@@ -84,22 +84,24 @@ class _Batch:
             yield slice(start, stop), slice(int(self.borders[start]), int(self.borders[stop]))
             start = stop
 
-    def times(self, q: np.ndarray) -> np.ndarray:
+    def times(self, q: np.ndarray, power: int = 1) -> np.ndarray:
+        """Rows, each entry raised to ``power``, times a matrix."""
         if self.dense is not None:
-            return self.dense @ q
+            return self.dense ** power @ q
         out = np.zeros((self.n, q.shape[1]))
         for rows, entries in self._pieces():
             owner = np.repeat(np.arange(rows.start, rows.stop), np.diff(self.borders[rows.start:rows.stop + 1]))
-            index, value = self.index[entries], self.value[entries]
+            index, value = self.index[entries], self.value[entries] ** power
             for c in range(q.shape[1]):
                 out[rows, c] += np.bincount(owner - rows.start, value * q[index, c], rows.stop - rows.start)
         return out
 
-    def back(self, z: np.ndarray) -> np.ndarray:
+    def back(self, z: np.ndarray, power: int = 1) -> np.ndarray:
+        """Transposed rows, each entry raised to ``power``, times a matrix with a row per row."""
         if self.dense is not None:
-            return self.dense.T @ z
-        owner = np.repeat(np.arange(self.n), np.diff(self.borders))
-        return np.stack([np.bincount(self.index, self.value * z[owner, c], self.width) for c in range(z.shape[1])], axis=1)
+            return (self.dense ** power).T @ z
+        owner, value = np.repeat(np.arange(self.n), np.diff(self.borders)), self.value ** power
+        return np.stack([np.bincount(self.index, value * z[owner, c], self.width) for c in range(z.shape[1])], axis=1)
 
     def moments(self) -> np.ndarray:
         if self.dense is not None:
@@ -107,13 +109,13 @@ class _Batch:
         return np.stack([np.bincount(self.index, self.value ** p, self.width) for p in (1, 2)], axis=1)
 
 
-def _added(rows: DataFrame, width: int, sparse: bool, columns: int, contribution) -> tuple[np.ndarray, np.ndarray]:
+def added_up(rows: DataFrame, width: int, sparse: bool, columns: int, contribution) -> tuple[np.ndarray, np.ndarray]:
     """Sum over all rows of ``contribution(batch) -> (features x columns, extra columns)``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         total, extra = np.zeros((width, columns)), np.zeros(columns)
         for batch in batches:
-            part, side = contribution(_Batch(batch.column(0), width, sparse))
+            part, side = contribution(Batch(batch.column(0), width, sparse))
             total += part
             extra += side
         pieces = [total[s:s + SLICE].tobytes() for s in range(0, width, SLICE)] + [extra.tobytes()]
@@ -143,7 +145,7 @@ def _added(rows: DataFrame, width: int, sparse: bool, columns: int, contribution
 def principal_axes(df: DataFrame, features: str = "features", *, k: int = 10, width: int | None = None, standardise: bool = True,
                    seed: int = 0, max_passes: int = MAX_PASSES, tolerance: float = TOLERANCE) -> Axes:
     """The ``k`` axes of largest variance. Constant features count nothing; rows with NULL features are left out."""
-    column, sparse = _stored(df, features)
+    column, sparse = stored(df, features)
     rows = materialise(df.select(column.alias("x")).where("x is not null"))
     if width is None:
         if sparse:
@@ -153,7 +155,7 @@ def principal_axes(df: DataFrame, features: str = "features", *, k: int = 10, wi
     n = rows.count()
     if not n or not width:
         raise ValueError("no rows with features")
-    moments, _ = _added(rows, width, sparse, 2, lambda b: (b.moments(), np.zeros(2)))
+    moments, _ = added_up(rows, width, sparse, 2, lambda b: (b.moments(), np.zeros(2)))
     mean = moments[:, 0] / n
     spread = np.sqrt(np.maximum(moments[:, 1] - n * mean ** 2, 0) / max(1, n - 1))
     steady = spread <= 1e-12 * np.maximum(1.0, np.abs(mean))
@@ -164,11 +166,11 @@ def principal_axes(df: DataFrame, features: str = "features", *, k: int = 10, wi
         scaled = q * scale[:, None]
         centre = mean @ scaled
 
-        def contribution(batch: _Batch):
+        def contribution(batch: Batch):
             z = batch.times(scaled) - centre
             return batch.back(z), z.sum(axis=0)
 
-        total, sums = _added(rows, width, sparse, q.shape[1], contribution)
+        total, sums = added_up(rows, width, sparse, q.shape[1], contribution)
         return (total - np.outer(mean, sums)) * scale[:, None] / max(1, n - 1)
 
     k = min(k, width)
@@ -209,7 +211,7 @@ def principal_axes(df: DataFrame, features: str = "features", *, k: int = 10, wi
 
 def projected(df: DataFrame, found: Axes, features: str = "features", out: str = "latent") -> DataFrame:
     """``df`` without its features and with ``out``, the coordinates along the axes (NULL for NULL features)."""
-    column, sparse = _stored(df, features)
+    column, sparse = stored(df, features)
     others = [c for c in df.columns if c not in (features, out)]
     schema = T.StructType([*[df.schema[c] for c in others], T.StructField(out, T.ArrayType(T.DoubleType()))])
     scaled = found.axes * found.deviation[:, None]
@@ -220,7 +222,7 @@ def projected(df: DataFrame, found: Axes, features: str = "features", out: str =
         for batch in batches:
             x = batch.column(len(others))
             known = x.is_valid().to_numpy(zero_copy_only=False)
-            z = _Batch(x.drop_null(), width, sparse).times(scaled) - centre
+            z = Batch(x.drop_null(), width, sparse).times(scaled) - centre
             offsets = np.concatenate([[0], np.cumsum(np.where(known, k, 0))]).astype(np.int32)
             made = pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(~known, False)), pa.array(z.reshape(-1)))
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(others))], made], schema.names)

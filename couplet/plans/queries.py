@@ -712,8 +712,7 @@ def cluster_nmi(spark, sf):
 
 @query
 def cluster_nmi_mixture(spark, sf):
-    cells = evidence.latent_representation(views.embedding_cells(spark, sf), k=4)
-    return evidence.cluster_nmi(cells, k=4, features="latent", method="gmm")
+    return evidence.cluster_nmi(views.embedding_cells(spark, sf), k=4, method="gmm")
 
 
 # -- diagnostics -----------------------------------------------------------------------------------------------

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from couplet.operators import evidence, subspace
+from couplet.operators import evidence, mixture, subspace
 
 
 def angle(a, b):
@@ -70,3 +70,40 @@ def test_axes_of_equal_variances_end_and_report(spark):
     assert angle(found.axes, v[:2].T) < 1e-5
     with pytest.raises(ValueError, match="no rows"):
         subspace.principal_axes(df.where("false"))
+
+
+def plain_mixture(x, start, passes):
+    """Expectation-maximisation row by row and component by component."""
+    k, d = start.shape
+    weights, means, variances = np.full(k, 1 / k), start.copy(), np.tile(x.var(axis=0) + mixture.FLOOR, (k, 1))
+    for _ in range(passes):
+        joint = np.log(weights) - 0.5 * np.stack([((x - means[c]) ** 2 / variances[c] + np.log(2 * np.pi * variances[c])).sum(axis=1)
+                                                  for c in range(k)], axis=1)
+        share = np.exp(joint - joint.max(axis=1, keepdims=True))
+        share /= share.sum(axis=1, keepdims=True)
+        weights = share.mean(axis=0)
+        means = share.T @ x / share.sum(axis=0)[:, None]
+        variances = np.stack([(share[:, c, None] * (x - means[c]) ** 2).sum(axis=0) / share[:, c].sum() for c in range(k)]) + mixture.FLOOR
+    return weights, means, variances
+
+
+@pytest.mark.parametrize("sparse", [False, True])
+def test_mixture_equals_a_plain_fit_and_never_falls(spark, sparse):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(m, s, (150, 5)) for m, s in ((0, 1), (3, 0.5), (-2, 2))])
+    if sparse:
+        x = np.where(rng.random(x.shape) < 0.4, 0, x)
+        rows = [(i, (np.flatnonzero(r).tolist(), r[r != 0].tolist())) for i, r in enumerate(x)]
+        df = spark.createDataFrame([*rows, (999, None)], "cell_id long, features struct<indices: array<int>, values: array<double>>")
+    else:
+        df = spark.createDataFrame([*[(i, [float(v) for v in r]) for i, r in enumerate(x)], (999, None)], "cell_id long, features array<double>")
+    start = x[[0, 200, 400]]
+    found = mixture.fit_mixture(df.repartition(4), start, gain=1e-9, max_iter=25)
+    assert (np.diff(found.likelihood) > -1e-9).all() and len(found.likelihood) > 5
+    weights, means, variances = plain_mixture(x, start, len(found.likelihood))
+    for got, want in ((found.weights, weights), (found.means, means), (found.variances, variances)):
+        np.testing.assert_allclose(got, want, rtol=1e-6, atol=1e-8)
+    labels = {r["cell_id"]: r["cluster"] for r in mixture.assigned(df, found).collect()}
+    assert labels.pop(999) is None
+    joint = np.stack([np.log(weights[c]) - 0.5 * ((x - means[c]) ** 2 / variances[c] + np.log(variances[c])).sum(axis=1) for c in range(3)], axis=1)
+    assert [labels[i] for i in range(len(x))] == joint.argmax(axis=1).tolist()
