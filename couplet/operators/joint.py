@@ -3,6 +3,9 @@
 ``partials`` are non-negative vectors keyed by (covariate, clone, labels, draw) whose sum per key
 is the joint: one per cell when cells are folded, one per pair when they are not. Folding them is
 one hash aggregate with map-side combine, so neither a hot clone nor a hot group gathers rows.
+
+Under posterior draws a partial is a ``block``: one row per (covariate, clone) with the vectors of all draws.
+Cells are clustered by pair, so a task finishes its pairs, and only pairs that were salted are added up again.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from couplet.functions.vectors import (
     BASE_EPS, UNROLL, at_least, each, log_base, sanitize, temper_base, total,
 )
 from couplet.operators.shared import (
-    SHORT_LIST, LookupSide, clone_filter, in_requested_order, lookup_join, task_count, vector_sum,
+    SHORT_LIST, LookupSide, clone_filter, in_requested_order, lookup_join, materialise, task_count, vector_sum,
 )
 from couplet.sources.store import ResultStore, stored_result
 from couplet.spec import CLONE, COVARIATE, PHENOTYPE, Study
@@ -56,14 +59,20 @@ def tempered_dims(study: Study, dims: DataFrame, temperature: float) -> DataFram
 def partials(study: Study, *, covariates: list[str] | None = None, groupby: str | None = None,
              splitby: str | None = None, n_samples: int = 0, temperature: float = 1.0,
              use_logits: bool = True, weighted: bool = False, clones=None,
-             random_state: int | None = None, source: str = "model") -> DataFrame:
-    """``covariate, clonotype[, grp, split], draw, part`` for the requested covariates."""
+             random_state: int | None = None, source: str = "model", labelled: bool = False,
+             paired: bool = False) -> DataFrame:
+    """``covariate, clonotype[, grp, split], draw, part`` for the requested covariates; ``block`` instead of the last
+    two under draws of the model.
+
+    ``labelled`` leaves out clones without a group, ``paired`` clones that are not seen at every requested covariate;
+    both act on the pair table, before any cell is folded.
+    """
     wanted = list(study.covariates) if covariates is None else list(dict.fromkeys(covariates))
     for c in wanted:
         study.check_covariate(c)
     n_samples = int(n_samples or 0)
     if source == "counts":
-        ct = _restrict(study.counts(groupby, splitby), wanted, clones)
+        ct = _restrict(study.counts(groupby, splitby), wanted, clones, labelled and groupby is not None)
         return ct.select(COVARIATE, CLONE, *label_columns(ct), F.lit(0).alias("draw"),
                          F.col("counts").alias("part"))
     if source != "model":
@@ -74,7 +83,11 @@ def partials(study: Study, *, covariates: list[str] | None = None, groupby: str
         raise RuntimeError("n_samples > 0 needs the local scale of the posterior")
 
     dims, measured = study.dims(groupby, splitby)
-    dims = tempered_dims(study, _restrict(dims, wanted, clones), temperature)
+    dims = _restrict(dims, wanted, clones, labelled and groupby is not None)
+    if paired and n_samples > 0:
+        whole = study.counts().where(F.col(COVARIATE).isin(wanted)).groupBy(CLONE).agg(F.count(F.lit(1)).alias("n"))
+        dims = dims.join(whole.where(F.col("n") == len(wanted)).select(CLONE), CLONE, "left_semi")
+    dims = tempered_dims(study, dims, temperature)
     seed = pick_seed(random_state)
     if not use_logits:
         scale = F.col("n_cells").cast("double") if weighted else F.lit(1.0)
@@ -84,8 +97,8 @@ def partials(study: Study, *, covariates: list[str] | None = None, groupby: str
                                part.alias("part"))
         tasks = task_count(study.spark, float(measured.rows) * n_samples * study.size, _TASK_DRAWS)
         drawn = _draw_rows(dims.repartition(tasks, CLONE, COVARIATE), study.size, n_samples, seed)
-        part = each(study.size, lambda x: x * scale, F.col("part"))
-        return drawn.select(COVARIATE, CLONE, *label_columns(dims), "draw", part.alias("part"))
+        block = F.transform("block", lambda row: F.transform(row, lambda x: x * scale)) if weighted else F.col("block")
+        return drawn.select(COVARIATE, CLONE, *label_columns(dims), block.alias("block"))
 
     cells = _restrict(study.cells.select(
         CLONE, COVARIATE, *[c for c in ("cell_id",) if c in study.cells.columns], "logits"), wanted,
@@ -97,8 +110,9 @@ def partials(study: Study, *, covariates: list[str] | None = None, groupby: str
     return _fold_draws(study, cells, dims, measured, n_samples, seed, logit_weight, base_weight)
 
 
-def _restrict(df: DataFrame, covariates: list[str], clones) -> DataFrame:
-    return clone_filter(df.where(F.col(COVARIATE).isin(covariates)), clones)
+def _restrict(df: DataFrame, covariates: list[str], clones, labelled: bool = False) -> DataFrame:
+    df = df.where(F.col(COVARIATE).isin(covariates))
+    return clone_filter(df.where("grp is not null") if labelled else df, clones)
 
 
 def checked_logits(size: int) -> Column:
@@ -144,24 +158,19 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return values.astype(float, copy=False).reshape(len(column), size)
 
 
-def _emit(batch: pa.RecordBatch, names: list[str], rows: np.ndarray, parts: np.ndarray,
-          n_samples: int) -> pa.RecordBatch:
-    """Key columns of ``rows`` repeated per draw, the draw index, and the vectors."""
-    index = pa.array(np.repeat(rows, n_samples))
-    size = parts.shape[-1]
-    flat = pa.array(np.ascontiguousarray(parts).reshape(-1))
-    offsets = pa.array(np.arange(0, flat.__len__() + 1, size, dtype=np.int32))
-    columns = [batch.column(batch.schema.get_field_index(n)).take(index) for n in names]
-    draw = pa.array(np.tile(np.arange(n_samples, dtype=np.int32), len(rows)))
-    return pa.RecordBatch.from_arrays([*columns, draw, pa.ListArray.from_arrays(offsets, flat)],
-                                      names=[*names, "draw", "part"])
+def _emit(names: list[str], labels: list[pa.Array], parts: np.ndarray) -> pa.RecordBatch:
+    """Key columns and one block (draws by phenotypes) per row."""
+    rows, n_samples, size = parts.shape
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, parts.size + 1, size, dtype=np.int32)),
+                                       pa.array(np.ascontiguousarray(parts).reshape(-1)))
+    blocks = pa.ListArray.from_arrays(pa.array(np.arange(0, rows * n_samples + 1, n_samples, dtype=np.int32)), vectors)
+    return pa.RecordBatch.from_arrays([*labels, blocks], names=[*names, "block"])
 
 
 def _draw_schema(df: DataFrame, names: list[str]) -> T.StructType:
     fields = [df.schema[n] for n in names]
     return T.StructType([*[T.StructField(f.name, f.dataType) for f in fields],
-                         T.StructField("draw", T.IntegerType()),
-                         T.StructField("part", T.ArrayType(T.DoubleType()))])
+                         T.StructField("block", T.ArrayType(T.ArrayType(T.DoubleType())))])
 
 
 def _pair_key() -> Column:
@@ -169,7 +178,7 @@ def _pair_key() -> Column:
 
 
 def _draw_rows(dims: DataFrame, size: int, n_samples: int, seed: int) -> DataFrame:
-    """``n_samples`` rows per (clone, covariate): draws that depend on seed, pair and index only."""
+    """A block of ``n_samples`` draws per (clone, covariate), which depend on seed, pair and index only."""
     names = [COVARIATE, CLONE, "n_cells", *label_columns(dims)]
     ready = dims.select(*names, "base", "magnitude", _pair_key())
     step = max(1, _BLOCK_VALUES // (n_samples * size))
@@ -182,7 +191,8 @@ def _draw_rows(dims: DataFrame, size: int, n_samples: int, seed: int) -> DataFra
             for start in range(0, len(keys), step):
                 rows = np.arange(start, min(start + step, len(keys)))
                 parts = np.stack([dirichlet_draws(magnitude[i] * base[i], n_samples, seed, keys[i]) for i in rows])
-                yield _emit(batch, names, rows, parts, n_samples)
+                labels = [batch.column(batch.schema.get_field_index(n)).take(pa.array(rows)) for n in names]
+                yield _emit(names, labels, parts)
 
     return ready.mapInArrow(run, _draw_schema(ready, names))
 
@@ -191,21 +201,33 @@ def _fold_draws(study: Study, cells: DataFrame, dims: DataFrame, measured: Looku
                 logit_weight: float, base_weight: float) -> DataFrame:
     """Cell fold under draws: never ``cells x draws`` rows.
 
-    Cells are clustered by pair (hot pairs over several salted tasks). Each Arrow batch emits one
-    partial vector per pair and draw; a task regenerates the draws of the pairs it sees, which
-    gives the same values everywhere because they are keyed by the pair.
+    Cells are clustered by pair (hot pairs over several salted tasks) and sorted, so a task sees a pair's cells in
+    a row, adds them up over its Arrow batches, and emits one block per pair. Draws are keyed by the
+    pair, so the tasks that share a hot pair draw the same; only their blocks meet in a second exchange.
     """
     size = study.size
-    names = [COVARIATE, CLONE, *label_columns(dims)]
+    names = [COVARIATE, CLONE, *label_columns(dims), "__salt"]
     on = [CLONE, COVARIATE]
     joined = lookup_join(cells, dims, on, "n_cells", side=measured, salt_column="__salt")
-    if measured.broadcast:      # a shuffled lookup already placed equal pairs together
+    if measured.broadcast:
         tasks = task_count(study.spark, float(measured.fact_rows) * n_samples * size, _TASK_VALUES)
         joined = joined.repartition(tasks, *on, "__salt")
-    ready = joined.sortWithinPartitions(*on).select(*names, checked_logits(size), "base", "magnitude", _pair_key())
+    else:       # no further exchange where the shuffled lookup places equal pairs together; AQE may have replaced it
+        joined = joined.repartition(*on, "__salt")
+    ready = joined.sortWithinPartitions(*on, "__salt").select(*names, checked_logits(size), "base", "magnitude", _pair_key())
     step = max(1, _BLOCK_VALUES // (n_samples * size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, draws = None, None
+        rows: list[list[pa.Array]] = []                         # labels and sums of the pairs seen, the last one still open
+        sums: list[np.ndarray] = []
+
+        def emit(upto: int) -> pa.RecordBatch:
+            labels = [pa.concat_arrays([r[i] for r in rows[:upto]]) for i in range(len(names))]
+            out = _emit(names, labels, np.stack(sums[:upto]))
+            del rows[:upto], sums[:upto]
+            return out
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -214,18 +236,29 @@ def _fold_draws(study: Study, cells: DataFrame, dims: DataFrame, measured: Looku
             logits = _matrix(batch.column(at("logits")), size)
             magnitude = batch.column(at("magnitude")).to_numpy(zero_copy_only=False)
             keys = batch.column(at("__key")).to_numpy(zero_copy_only=False)
-            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            ends = np.r_[starts[1:], len(keys)]
-            for first in range(0, len(starts), step):
-                block = range(first, min(first + step, len(starts)))
-                parts = np.stack([
-                    fold_cells(dirichlet_draws(magnitude[starts[r]] * base[starts[r]], n_samples, seed, keys[starts[r]]),
-                               logits[starts[r]:ends[r]], logit_weight, base_weight, BASE_EPS)
-                    for r in block
-                ])
-                yield _emit(batch, names, starts[first:first + step], parts, n_samples)
-
-    return ready.mapInArrow(run, _draw_schema(ready, names))
+            salts = batch.column(at("__salt")).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (salts[1:] != salts[:-1])])
+            for start, end in zip(starts, np.r_[starts[1:], len(keys)]):
+                if (keys[start], salts[start]) != current:
+                    if len(rows) >= step:
+                        yield emit(len(rows))
+                    current = (keys[start], salts[start])
+                    draws = dirichlet_draws(magnitude[start] * base[start], n_samples, seed, keys[start])
+                    rows.append([batch.column(at(n)).slice(start, 1) for n in names])
+                    sums.append(np.zeros((n_samples, size)))
+                sums[-1] += fold_cells(draws, logits[start:end], logit_weight, base_weight, BASE_EPS)
+        if rows:
+            yield emit(len(rows))
+
+    blocks = ready.mapInArrow(run, _draw_schema(ready, names))
+    if measured.largest <= measured.hot_limit:                  # no pair was salted
+        return blocks.drop("__salt")
+    blocks = materialise(blocks)
+    keys = names[:-1]
+    split = blocks.where("`__salt` > 0").select(*keys, F.posexplode("block").alias("draw", "part"))
+    added = vector_sum(split, [*keys, "draw"], {"mass": F.col("part")}, size)
+    whole = added.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("draw", "mass"))), lambda x: x["mass"]).alias("block"))
+    return blocks.where("`__salt` = 0").drop("__salt").unionByName(whole)
 
 
 # -- folding ------------------------------------------------------------------------------------
@@ -239,6 +272,9 @@ def _rescaled(mass: Column, size: int, divide: bool) -> Column:
 
 def folded(parts: DataFrame, size: int, *, unit_rows: bool, summed: bool = True) -> DataFrame:
     """``covariate, clonotype[, grp, split], draw, mass``; ``unit_rows`` scales each row to 1."""
+    if "block" in parts.columns:
+        mass = parts.select(COVARIATE, CLONE, *label_columns(parts), F.posexplode("block").alias("draw", "mass"))
+        return mass.withColumn("mass", _rescaled(F.col("mass"), size, unit_rows))
     keys = [COVARIATE, CLONE, *label_columns(parts), "draw"]
     mass = vector_sum(parts, keys, {"mass": F.col("part")}, size) if summed \
         else parts.withColumnRenamed("part", "mass")
@@ -250,6 +286,13 @@ def folded_pair(parts: DataFrame, size: int, cov_from: str, cov_to: str, *, unit
 
     Both sides come out of one aggregate instead of a self-join.
     """
+    if "block" in parts.columns:
+        keys = [CLONE, *label_columns(parts)]
+        sides = parts.groupBy(*keys).agg(*[F.max(F.when(F.col(COVARIATE) == level, F.struct("block"))).alias(name)
+                                           for level, name in ((cov_from, "f"), (cov_to, "t"))]).where("f is not null and t is not null")
+        rows = sides.select(*keys, F.posexplode(F.arrays_zip(F.col("f.block").alias("f"), F.col("t.block").alias("t"))).alias("draw", "m"))
+        return rows.select(*keys, "draw", *[_rescaled(F.col(f"m.{c}"), size, unit_rows).alias(name)
+                                            for c, name in (("f", "mass_from"), ("t", "mass_to"))])
     keys = [CLONE, *label_columns(parts), "draw"]
     zero = F.array_repeat(F.lit(0.0), size)
 

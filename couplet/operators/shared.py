@@ -60,6 +60,7 @@ class LookupSide:
     fact_rows: int
     broadcast: bool
     row_bytes: int = 256
+    largest: int = 0            # fact rows of the largest key
 
     @property
     def hot_limit(self) -> float:
@@ -72,9 +73,10 @@ def measure_side(dim: DataFrame, weight: str | None, row_bytes: int,
                  broadcast_bytes: int | None = None) -> LookupSide:
     """Count a stage table (metadata-sized scan) to decide how it may be joined."""
     size = dim.agg(F.count(F.lit(1)).alias("n"),
-                   (F.sum(weight) if weight else F.lit(0)).alias("w")).first()
+                   (F.sum(weight) if weight else F.lit(0)).alias("w"),
+                   (F.max(weight) if weight else F.lit(0)).alias("top")).first()
     bound = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
-    return LookupSide(size["n"], int(size["w"] or 0), size["n"] * row_bytes <= bound, row_bytes)
+    return LookupSide(size["n"], int(size["w"] or 0), size["n"] * row_bytes <= bound, row_bytes, int(size["top"] or 0))
 
 
 def salt_of(weight: Column, side: LookupSide, content: Sequence[Column]) -> Column:
