@@ -252,32 +252,36 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     signed = annotate(plain, "text", signature_columns(width), _SIGNATURE, ["id"])
     linked = (F.col("n_shingles") > 0) & F.col("id").isNotNull()
     signed = materialise(signed)
-    # Equal sets are one class; its smallest id stands for it.
+    # Equal sets are one class; its smallest id stands for it. Only sets that occur again are looked up, so neither
+    # signatures nor texts are shuffled, and rows that repeat an id are found among them.
     content = ["__sum", "__xor", "n_shingles"]
-    classes = materialise(signed.where(linked).groupBy(*content).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("__rows")))
-    members = materialise(lookup_join(signed.select("id", *content).where(linked), classes, content, "__rows", row_bytes=96)
-                          .select("id", "n_shingles", "rep"))
-    reps = materialise(
-        signed.join(members.where("id = rep").select("id").distinct(), "id", "left_semi")
-        .select("id", F.col("n_shingles").alias("n"), "__bands", *_SKETCH).dropDuplicates(["id"]))
-    keyed = reps.select("id", "n", F.explode("__bands").alias("key"))
-    shared = keyed.groupBy("key").agg(
+    classes = materialise(signed.where(linked).groupBy(*content).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("__rows"))
+                          .where("__rows > 1"))
+    tagged = lookup_join(signed.where(linked), classes, content, "__rows", row_bytes=96, keep_unmatched=True)
+    members = materialise(tagged.select("id", "n_shingles", F.coalesce("rep", "id").alias("rep")))
+    shown = ["id", F.col("n_shingles").alias("n"), "__bands", *_SKETCH]
+    reps = materialise(tagged.where("rep is null").select(*shown, F.lit(False).alias("__again")).unionByName(
+        tagged.where("id = rep").select(*shown, F.lit(True).alias("__again")).dropDuplicates(["id"])))
+    keyed = reps.select("id", "n", "__again", F.explode("__bands").alias("key"))
+    shared = materialise(keyed.groupBy("key").agg(
         F.min("id").alias("lo"), F.max("id").alias("hi"),
-        F.min(F.struct(F.xxhash64("id").alias("h"), "id"))["id"].alias("some"), F.count(F.lit(1)).alias("size")) \
-        .where("size > 1").drop("size")
-    crowd = materialise(keyed.join(shared, "key"))
-
-    wanted = crowd.select("id").distinct()
-    sets = materialise(annotate(plain.where("id is not null").join(wanted, "id", "left_semi"), "text",
-                                set_column(width), "set array<long>", ["id"]).dropDuplicates(["id"]))
-    sketches = materialise(reps.join(wanted, "id", "left_semi"))
+        F.min(F.struct(F.xxhash64("id").alias("h"), "id"))["id"].alias("some"), F.count(F.lit(1)).alias("__rows"))
+        .where("__rows > 1"))
+    crowd = materialise(lookup_join(keyed, shared, ["key"], "__rows", row_bytes=64).drop("__rows"))
+
+    wanted = materialise(crowd.groupBy("id", "__again").agg(F.count(F.lit(1)).alias("__rows")))
+    sets = materialise(annotate(lookup_join(plain.where("id is not null"), wanted, ["id"], "__rows", row_bytes=32), "text",
+                                set_column(width), "set array<long>", ["id", "__again"]))
+    sets = sets.where(~F.col("__again")).drop("__again").unionByName(
+        sets.where("__again").drop("__again").dropDuplicates(["id"]))
+    sketches = materialise(lookup_join(reps.drop("__again"), wanted.drop("__again"), ["id"], "__rows", row_bytes=32).drop("__rows"))
     chosen = crowd.select("id", F.explode(F.array("lo", "hi", "some")).alias("other")).where("id != other") \
         .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     links = materialise(similar_links(chosen, sketches, sets, percent))
     first = components(links)
 
     # Band members outside the component of the band's smallest id meet the others of the band.
-    at = crowd.join(first.withColumnRenamed("node", "id"), "id", "left") \
+    at = crowd.drop("__again").join(first.withColumnRenamed("node", "id"), "id", "left") \
         .join(first.select(F.col("node").alias("lo"), F.col("component").alias("main")), "lo", "left")
     placed = materialise(at.select("key", "id", "n", F.coalesce("component", "id").alias("part"),
                                    F.coalesce("main", "lo").alias("main")))
