@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from couplet.functions.intervals import HDI_PROB, hdi_bounds
 from couplet.functions.sampling import mann_whitney_p
 from couplet.functions.vectors import is_finite, stars, versus
-from couplet.operators.ranks import WINDOW_ROWS, exact_hdi, exact_quantiles, midrank, ranked_values
+from couplet.operators.ranks import WINDOW_ROWS, exact_hdi, exact_quantiles
 from couplet.operators.shared import materialise
 from couplet.spec import MAX_LEVELS, levels_of
 
@@ -106,6 +108,88 @@ def _by_pair(df: DataFrame, splitby: str, pairs: list[tuple[str, str]]) -> DataF
     return df.withColumn("__level", F.col(splitby).cast("string")).join(F.broadcast(sides), "__level").drop("__level")
 
 
+RANGE_CELLS = 2_000_000      # value x level counts that a task holds at once
+
+
+def _ranked_together(df: DataFrame, levels: list[str], pairs: list[tuple[str, str]],
+                     rows: int | None) -> tuple[DataFrame, DataFrame]:
+    """Rank sums of all pairs of levels from one ranking: ``(a, b, U, cross)`` and, per level, ``(a, level, n, sx, ties)``.
+
+    Rows collapse to counts per value and level. Going up the values with a vector of how many rows each level has
+    had so far gives, for every pair at once, how often one level beats the other (``U``, ties half) and the tie term
+    that the two levels have together. Large inputs are cut into value ranges that start from the lower ranges'
+    totals: at most ranges times levels numbers.
+    """
+    spark, size = df.sparkSession, len(levels)
+    named = spark.createDataFrame(list(enumerate(levels)), "a int, level string")
+    hist = df.where("x is not null").join(F.broadcast(named), "level").groupBy(F.col("x").cast("double").alias("value"), "a") \
+        .agg(F.count(F.lit(1)).alias("n"))
+    if rows is None or rows > WINDOW_ROWS:
+        hist = materialise(hist)
+        rows = hist.count()
+    ranges = min(1000, max(1, -(-rows // WINDOW_ROWS)))
+    start = {0: np.zeros(size)}
+    if ranges > 1:
+        cuts = sorted(set(hist.approxQuantile("value", [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
+        hist = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="value", outputCol="range").transform(hist) \
+            .withColumn("range", F.col("range").cast("int"))
+        totals = np.zeros((len(cuts) + 1, size))
+        for r in hist.groupBy("range", "a").agg(F.sum("n").alias("n")).collect():          # ranges x levels
+            totals[r["range"], r["a"]] = r["n"]
+        start = dict(enumerate(np.cumsum(totals, axis=0) - totals))
+    else:
+        hist = hist.withColumn("range", F.lit(0))
+    left, right = (np.array([levels.index(p[i]) for p in pairs], np.int64) for i in (0, 1))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wins, cross = np.zeros(len(left)), np.zeros(len(left))
+        n, sx, ties = np.zeros(size), np.zeros(size), np.zeros(size)
+        below: dict[int, np.ndarray] = {}
+        held: list[pd.DataFrame] = []                   # rows of the last value, which may go on
+
+        def take(frame: pd.DataFrame) -> None:
+            codes = np.cumsum((frame["value"].diff().fillna(1) != 0) | (frame["range"].diff().fillna(1) != 0)).to_numpy() - 1
+            step = max(1, RANGE_CELLS // size)
+            for first in range(0, int(codes[-1]) + 1, step):
+                mine = frame[(codes >= first) & (codes < first + step)]
+                for r, part in mine.groupby("range", sort=True):
+                    order = pd.factorize(part["value"])[0]
+                    count = np.zeros((int(order.max()) + 1, size))
+                    count[order, part["a"]] = part["n"]
+                    before = below.setdefault(r, start[r].copy())
+                    lower = np.cumsum(count, axis=0) - count + before
+                    square = count ** 2
+                    wins[:] += (count.T @ (lower + count / 2))[left, right]
+                    both = square.T @ count
+                    cross[:] += 3 * (both + both.T)[left, right]
+                    below[r] = before + count.sum(axis=0)
+                    n[:] += count.sum(axis=0)
+                    ties[:] += (count * square - count).sum(axis=0)
+                    np.add.at(sx, part["a"].to_numpy(), part["value"].to_numpy() * part["n"].to_numpy())
+
+        for frame in frames:
+            if not len(frame):
+                continue
+            frame = pd.concat([*held, frame], ignore_index=True)
+            last = (frame["value"] == frame["value"].iloc[-1]) & (frame["range"] == frame["range"].iloc[-1])
+            held = [frame[last]]
+            if not last.all():
+                take(frame[~last].reset_index(drop=True))
+        if held:
+            take(held[0].reset_index(drop=True))
+            yield pd.DataFrame({"a": left, "b": right, "U": wins, "cross": cross})
+            yield pd.DataFrame({"a": np.arange(size), "b": -1, "U": sx, "cross": ties, "n": n})
+
+    placed = hist.repartition(ranges, "range") if ranges > 1 else hist.coalesce(1)
+    schema = "a int, b int, U double, cross double, n double"
+    sums = placed.sortWithinPartitions("range", "value").mapInPandas(
+        lambda frames: (f.reindex(columns=["a", "b", "U", "cross", "n"]) for f in run(frames)), schema)
+    sums = materialise(sums.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("U", "cross", "n")]))
+    per_level = sums.where("b < 0").join(named, "a").select("a", "level", F.col("n").cast("long").alias("n"), F.col("U").alias("sx"),
+                                                           F.col("cross").alias("ties"))
+    return sums.where("b >= 0").select("a", "b", "U", "cross"), per_level
+
+
 def compare_groups(df: DataFrame, *, value: str = "value", splitby: str, reference: str | None = None,
                    alternative: str = "two-sided", levels: list[str] | None = None, rows: int | None = None) -> DataFrame:
     """Unpaired contrast per level pair: Mann-Whitney U, p, means, ``delta = mean_b - mean_a``, stars.
@@ -120,19 +204,14 @@ def compare_groups(df: DataFrame, *, value: str = "value", splitby: str, referen
     pairs = level_pairs(levels, splitby, reference)
     if not pairs:
         return df.sparkSession.createDataFrame([], schema)
-    sided = _by_pair(df.select(splitby, F.when(is_finite(F.col(value)), F.col(value)).alias("__x")), splitby, pairs)
-    is_a, is_b = (F.col("side") == 0).cast("long"), (F.col("side") == 1).cast("long")
-    bound = None if rows is None else rows * max(1, len(levels) - 1)
-    ranked = ranked_values(sided, "__x", ["level_a", "level_b"], sums={"a": is_a, "b": is_b}, rows=bound).rows
-    v, n = F.col("value"), F.col("n").cast("double")
-    test = ranked.groupBy("level_a", "level_b").agg(
-        F.sum("a").alias("n_a"), F.sum("b").alias("n_b"),
-        F.sum(v * F.col("a")).alias("__sa"), F.sum(v * F.col("b")).alias("__sb"),
-        F.sum(midrank() * F.col("a")).alias("__ra"), F.sum(n * n * n - n).alias("__ties"),
-    ).where("n_a > 0 and n_b > 0")
-    u = F.col("__ra") - F.col("n_a") * (F.col("n_a") + 1) / 2.0
-    test = test.select("level_a", "level_b", "n_a", "n_b", (F.col("__sa") / F.col("n_a")).alias("mean_a"),
-                       (F.col("__sb") / F.col("n_b")).alias("mean_b"), u.alias("U"), "__ties")
+    pair_sums, level_sums = _ranked_together(
+        df.select(F.col(splitby).cast("string").alias("level"), F.when(is_finite(F.col(value)), F.col(value)).alias("x")),
+        levels, pairs, rows)
+    sides = {side: level_sums.select(F.col("a").alias(side), F.col("level").alias(f"level_{side}"), F.col("n").alias(f"n_{side}"),
+                                     (F.col("sx") / F.col("n")).alias(f"mean_{side}"), F.col("ties").alias(f"ties_{side}"))
+             for side in ("a", "b")}
+    test = pair_sums.join(sides["a"], "a").join(sides["b"], "b").where("n_a > 0 and n_b > 0") \
+        .withColumn("__ties", F.col("cross") + F.col("ties_a") + F.col("ties_b"))
     test = test.withColumn("p", _p_value("U", "n_a", "n_b", "__ties", F.lit(alternative)))
     test = test.withColumn("p", F.when(~F.isnan("p"), F.col("p")))
     return test.select("level_a", "level_b", "n_a", "n_b", "mean_a", "mean_b",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from couplet.functions.sampling import hypergeometric, mann_whitney_p, permuted_table_terms, _large_hypergeometric
 from couplet.functions.vectors import stars
-from couplet.operators import auc, diagnose, metrics, preprocess, ranks, shared, summarise
+from couplet.operators import auc, diagnose, metrics, preprocess, ranks, shared, splitting, summarise
 from tests import fixtures as fx
 
 
@@ -115,6 +115,50 @@ def test_contrast_frame(spark):
         summarise.compare_groups(df, splitby="arm", alternative="up")
 
 
+@pytest.mark.parametrize("window_rows,cells", [(10**6, 10**6), (40, 12)])
+def test_contrasts_of_all_pairs_from_one_ranking(spark, monkeypatch, window_rows, cells):
+    """One range and many, with ties and uneven levels, against counting every pair of rows."""
+    monkeypatch.setattr(summarise, "WINDOW_ROWS", window_rows)
+    monkeypatch.setattr(summarise, "RANGE_CELLS", cells)
+    rng = np.random.default_rng(6)
+    groups = {"a": np.round(rng.normal(size=90), 1), "b": np.round(rng.normal(0.4, 1, 140), 1), "c": rng.normal(size=33), "d": np.full(25, 0.3)}
+    rows = [(k, float(x)) for k, v in groups.items() for x in v] + [("a", None), ("e", None), (None, 1.0), ("b", float("nan"))]
+    df = spark.createDataFrame(rows, "arm string, value double").repartition(6)
+    got = {(r["level_a"], r["level_b"]): r for r in summarise.compare_groups(df, splitby="arm").collect()}
+    assert set(got) == set(itertools.combinations("abcd", 2))
+    for (p, q), r in got.items():
+        x, y = groups[p], groups[q]
+        wins = (x[:, None] > y[None, :]).sum() + (x[:, None] == y[None, :]).sum() / 2
+        _, tied = np.unique(np.concatenate([x, y]), return_counts=True)
+        assert (r["U"], r["n_a"], r["n_b"]) == (wins, len(x), len(y))
+        assert r["delta"] == pytest.approx(y.mean() - x.mean())
+        assert r["p"] == pytest.approx(mann_whitney_p(wins, len(x), len(y), float((tied.astype(float) ** 3 - tied).sum()), "two-sided"))
+
+
+def test_splitting_tree_keeps_totals_and_law(spark, monkeypatch):
+    """Thirteen blocks under a fan of three: totals add up and follow the shuffle's mean and variance."""
+    monkeypatch.setattr(splitting, "FAN", 3)
+    sizes = [3, 50, 7, 1, 20, 11, 90, 2, 40, 5, 5, 60, 6]
+    blocks = spark.createDataFrame([("s", i, [n]) for i, n in enumerate(sizes)], "k string, block long, weights array<long>")
+    margin, width = np.array([120, 130, 50]), 400
+    root = [("s", 7, c, width, bytearray(np.tile(margin, (width, 1)).astype(np.int64).tobytes())) for c in range(5)]
+    roots = spark.createDataFrame(root, "k string, stratum long, chunk long, width int, totals binary")
+    rows = splitting.block_totals(roots, blocks, ["k"], len(sizes), 11, splitting.without_replacement).collect()
+    assert len(rows) == 5 * len(sizes)
+    got = {(r["chunk"], r["block"]): np.frombuffer(bytes(r["totals"]), np.int64).reshape(width, 3) for r in rows}
+    for c in range(5):
+        assert (sum(got[c, b] for b in range(len(sizes))) == margin).all()
+    for b, n in enumerate(sizes):
+        draws = np.concatenate([got[c, b] for c in range(5)])
+        assert (draws.sum(axis=1) == n).all() and (draws >= 0).all()
+        share = margin / 300
+        spread = n * share * (1 - share) * (300 - n) / 299
+        assert (np.abs(draws.mean(axis=0) - n * share) < 5 * np.sqrt(spread / len(draws)) + 1e-9).all()
+        np.testing.assert_allclose(draws.var(axis=0), spread, rtol=0.2, atol=0.02)
+    again = splitting.block_totals(roots.repartition(3), blocks, ["k"], len(sizes), 11, splitting.without_replacement).collect()
+    assert {(r["chunk"], r["block"]): bytes(r["totals"]) for r in again} == {k: v.tobytes() for k, v in got.items()}
+
+
 def test_stars(spark):
     df = spark.createDataFrame([(1e-5,), (5e-4,), (5e-3,), (0.04,), (0.05,), (None,)], "p double")
     assert [r[0] for r in df.select(stars(F.col("p"))).collect()] == ["****", "***", "**", "*", "ns", "ns"]
