@@ -129,7 +129,7 @@ def temper_base(p: Column, size: int, temperature: float) -> Column:
 def check_temperature(temperature: float) -> float:
     t = float(temperature)
     if not (0.0 < t < float("inf")):
-        raise ValueError(f"temperature must be finite and > 0, got {temperature!r}")
+        raise ValueError(f"pass a positive, finite temperature instead of {temperature!r}")
     return t
 
 

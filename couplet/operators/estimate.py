@@ -47,7 +47,7 @@ def build_archetypes(study: Study, k: int = 4, seed: int = 42) -> tuple[np.ndarr
     priors = materialise(clone_prior(study))
     n = priors.count()
     if k > n:
-        warnings.warn(f"k={k} archetypes requested but the data has only {n} clonotype(s); using k={n}",
+        warnings.warn(f"{k} archetypes requested for {n} clones: fitting {n}",
                       UserWarning, stacklevel=2)
         k = n
     features = priors.withColumn("features", array_to_vector("prior"))

