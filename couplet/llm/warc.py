@@ -35,6 +35,7 @@ SKIPPABLE = 0x184D2A5D
 ARCHIVE_BYTES = 16 << 20
 # The dictionary is built from about so many records of at most so many bytes each.
 SAMPLE_RECORDS, SAMPLE_RECORD_BYTES, DICTIONARY_BYTES = 400, 16 << 10, 64 << 10
+TRAINING_SAMPLES = 16                # fewer are cut into smaller ones
 MIN_REFERRED = 100                   # shorter payloads are stored again rather than referred to
 LEVEL = 3
 READ_BYTES = 8 << 10                 # compressed bytes fed at a time; frames don't state their length
@@ -54,25 +55,30 @@ def payload_roles(pages: DataFrame, id: str, payload: str, shortest: int = MIN_R
 
 
 def build_dictionary(pages: DataFrame, roles: DataFrame, payload: str) -> bytes:
-    """A dictionary trained on about ``SAMPLE_RECORDS`` whole records; empty if they are too few.
+    """A dictionary from about ``SAMPLE_RECORDS`` records; empty only if no payload has a byte.
 
     The sample is the distinct payloads whose digest falls below a bound set by their number, so it
-    stays the same size however many records and copies there are.
+    stays the same size however many records and copies there are. Of a longer payload it takes a stretch of
+    ``SAMPLE_RECORD_BYTES`` characters that begins where the digest says. Few samples are cut into smaller ones for
+    training; where training refuses them all the same, their own bytes are the dictionary.
     """
     distinct = roles.select("digest").distinct().count()
     share = min(1.0, SAMPLE_RECORDS / max(distinct, 1))
-    body = F.col(f"`{payload}`")
-    fit = pages.where(F.octet_length(body).between(MIN_REFERRED, SAMPLE_RECORD_BYTES)) \
-        .select(body.alias("b"), F.sha2(body, 256).alias("digest")) \
-        .where(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") <= int(share * 0xFFFFFFFF)) \
+    body, digest = F.col(f"`{payload}`"), F.sha2(F.col(f"`{payload}`"), 256)
+    number = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long")                 # noqa: E731
+    spare = F.greatest(F.length(body) - SAMPLE_RECORD_BYTES, F.lit(0)).cast("long")
+    start = (F.pmod(number(9), spare + 1) + 1).cast("int")
+    fit = pages.where(F.octet_length(body) > 0).where(number(1) <= int(share * 0xFFFFFFFF)) \
+        .select(digest.alias("digest"), body.substr(start, F.lit(SAMPLE_RECORD_BYTES)).alias("b")) \
         .groupBy("digest").agg(F.min("b").alias("b"))
     sample = [r[0].encode() for r in fit.orderBy("digest").limit(2 * SAMPLE_RECORDS).select("b").collect()]
-    if len(sample) < 16:
-        return b""
+    if len(sample) < TRAINING_SAMPLES:
+        size = max(64, sum(map(len, sample)) // (4 * TRAINING_SAMPLES))
+        sample = [s[i:i + size] for s in sample for i in range(0, len(s), size)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, sample, k=256, d=8).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        return b"".join(sample)[-DICTIONARY_BYTES:]
 
 
 def record_bytes(page_id, url: str | None, payload: bytes, digest: str, refers_to) -> bytes:

@@ -293,6 +293,16 @@ def test_url_lists_keep_the_case_of_paths(spark):
     assert got == {1: "site.org/News", 3: "slash.net", 4: "slash.net", 5: "slash.com/A", 6: "slash.com/A"}
 
 
+@pytest.mark.parametrize("rows", [[f"<p>{i} " + f"line {i % 7} of a page</p>" * 1000 for i in range(60)], ["<p>one</p>" * 30, "<p>two</p>", "x"], ["y"]])
+def test_archives_of_large_or_few_pages_carry_a_dictionary(spark, rows):
+    df = spark.createDataFrame([(i, f"http://a/{i}", t) for i, t in enumerate(rows)], "page_id long, url string, html string")
+    words = warc.build_dictionary(df, warc.payload_roles(df, "page_id", "html"), "html")
+    assert 0 < len(words) <= warc.DICTIONARY_BYTES
+    folder = warc.archive_folder(spark)
+    got = warc.read_archives(spark, warc.write_archives(df, folder), folder).collect()
+    assert {int(r.id): r.digest for r in got} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(rows)}
+
+
 def test_archives_round_trip(spark):
     big, other = "<p>hello world</p>" * 20, "ü" * 3000
     rows = [(i, f"http://a/{i}", big if i % 3 else other + str(i)) for i in range(40)]
