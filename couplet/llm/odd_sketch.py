@@ -297,7 +297,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
 
 def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5,
                          percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each linked group, the one with the smallest id."""
-    verdicts = materialise(near_duplicates(docs, id, text, width, percent))
-    gone = verdicts.where(~F.col("kept")).select(id).distinct()
-    return docs.join(gone, id, "left_anti")
+    """``docs`` with one document of each linked group, the one with the smallest id; rows and columns are passed on as
+    they are, whatever the names. The ids that go are looked up, so texts are not shuffled to them."""
+    verdicts = near_duplicates(docs, id, text, width, percent)
+    gone = materialise(verdicts.where(~F.col("kept")).groupBy(F.col(f"`{id}`").alias("__id")).agg(F.count(F.lit(1)).alias("__rows")))
+    packed = docs.select(F.col(f"`{id}`").alias("__id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    looked = lookup_join(packed, gone, ["__id"], "__rows", row_bytes=32, keep_unmatched=True)
+    return looked.where("`__rows` is null").select("__row.*")
