@@ -219,3 +219,30 @@ def test_toxicity_query_on_test_tables(spark):
     held = [(r.predicted, truth[r.doc_id]) for r in rows if r.held_out and r.doc_id in truth]
     assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert np.mean([p == t for p, t in held]) > 0.93
+
+
+def test_toxicity_learns_from_every_labelled_document(spark):
+    docs, labels = toxic_corpus(spark)
+    late = [(20_000 + i, "word1 " * 4000 + f"zorgon{i % 3} the", "keep") for i in range(40)]      # beyond 16 KiB, and only there
+    more = spark.createDataFrame(late, docs.schema)
+    marks = spark.createDataFrame([(r[0], 1) for r in late], labels.schema)
+    whole = materialise(docs.unionByName(more))
+    net = toxicity.learn(whole, labels.unionByName(marks), shard_documents=100)       # several shards
+    asked = spark.createDataFrame([(1, "word1 zorgon1 word1", "x"), (2, "word1 the word1", "x")], docs.schema)
+    scores = {r.doc_id: r.score for r in toxicity.score(asked, net).collect()}
+    assert scores[1] >= 0.5 > scores[2]
+
+
+def test_toxicity_cuts_use_every_row(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(int(rng.integers(0, 3)), int(y), float(np.round(rng.normal(y, 1), 2))) for y in rng.integers(0, 2, 3000)]
+    scored = spark.createDataFrame(rows, "language int, y int, logit double")
+    whole = toxicity.cuts(scored)
+    monkeypatch.setattr(toxicity, "WINDOW_ROWS", 100)                # several ranges
+    assert toxicity.cuts(scored) == whole
+    for language, (limit, toxic, clean) in whole.items():
+        mine = [(y, z) for k, y, z in rows if language in (-1, k)]
+        assert (toxic, clean) == (sum(y for y, _ in mine), sum(1 - y for y, _ in mine))
+        def cost(at):
+            return sum(y and z < at for y, z in mine) / toxic + toxicity.FALSE_ALARM * sum(not y and z >= at for y, z in mine) / clean
+        assert abs(cost(limit) - min(cost(z) for z in {z for _, z in mine} | {99.0})) < 1e-9
