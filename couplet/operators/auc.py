@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from couplet.functions.sampling import hypergeometric, keyed_generator
+from couplet.functions.sampling import keyed_generator
 from couplet.operators.ranks import Ranked, midrank, ranked_values
 from couplet.operators.splitting import Law, block_totals, with_replacement, without_replacement
 from couplet.operators.shared import materialise
@@ -25,6 +25,9 @@ from couplet.operators.shared import materialise
 BLOCK_SCORES = 50_000
 CHUNK = 2_000
 BOOT_CHUNK = 100
+# Rows of a value up to which its binomial law is tabulated, and numbers that a task draws at once.
+TABLE_COUNT = 4_096
+_HELD_VALUES = 2_000_000
 _TOLERANCE = 1e-12
 
 
@@ -103,11 +106,29 @@ def _resampled(ranked: Ranked, n_draws: int, chunk_size: int, block_scores: int,
     return left.groupBy("block", "copy").cogroup(right.groupBy("block", "copy")).applyInPandas(run, "draw long, part double")
 
 
+def _binomial_steps(count: int, p: float) -> np.ndarray:
+    """Distribution function of Binomial(``count``, ``p``) at 0 .. ``count`` - 1."""
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1.0, count + 1)))])
+    k = np.arange(count + 1)
+    mass = np.exp(logs[-1] - logs - logs[::-1] + k * math.log(p) + (count - k) * math.log1p(-p))
+    return np.minimum(np.cumsum(mass / mass.sum())[:-1], 1.0)
+
+
 def _subset_rank_sums(rng, counts: np.ndarray, mids: np.ndarray, take: np.ndarray) -> np.ndarray:
-    """Rank sum of a uniform subset of ``take[r]`` rows, per resample ``r``."""
+    """Rank sum of a uniform subset of ``take[r]`` rows, per resample ``r``.
+
+    Where the subset or its complement is small its rows are drawn. Else every row is taken by its own coin, which is a binomial
+    number per value, and a uniform choice of the rows taken (or left) brings the number taken to ``take[r]``: given
+    its size a set drawn by coins is uniform, and so it stays. The coins' bias decides only how many rows that last step moves.
+    """
     n = int(counts.sum())
     out = np.empty(len(take))
-    if n <= 4 * len(counts) and n <= 4 * BLOCK_SCORES:
+    if not len(take) or not n:
+        return np.zeros(len(take))
+    p = float(take.mean()) / n
+    if p in (0.0, 1.0):
+        return take * (counts * mids).sum() / n
+    if n <= 4 * BLOCK_SCORES and np.minimum(take, n - take).mean() <= 2 * len(counts):
         expanded = np.repeat(mids, counts)
         whole = expanded.sum()
         for r, k in enumerate(take):                # the smaller side of the cut is drawn
@@ -115,14 +136,24 @@ def _subset_rank_sums(rng, counts: np.ndarray, mids: np.ndarray, take: np.ndarra
             drawn = expanded[rng.choice(n, few, replace=False, shuffle=False)].sum()
             out[r] = drawn if few == k else whole - drawn
         return out
-    left = take.astype(np.int64).copy()
-    rest = n
-    out[:] = 0.0
-    for count, mid in zip(counts, mids):
-        rest -= int(count)
-        got = hypergeometric(rng, np.full(len(take), count), np.full(len(take), rest), left)
-        out += got * mid
-        left -= got
+    order = np.argsort(counts, kind="stable")
+    counts, mids = counts[order].astype(np.int64), mids[order]
+    kinds, first = np.unique(counts, return_index=True)
+    ends = np.append(first[1:], len(counts))
+    steps = [_binomial_steps(int(c), p) if c <= TABLE_COUNT else None for c in kinds]
+    width = max(1, _HELD_VALUES // len(counts))
+    for low in range(0, len(take), width):
+        asked = take[low:low + width]
+        taken = np.empty((len(asked), len(counts)), np.int64)
+        for c, start, end, table in zip(kinds, first, ends, steps):
+            shape = (len(asked), end - start)
+            taken[:, start:end] = rng.binomial(c, p, shape) if table is None else np.searchsorted(table, rng.random(shape), side="right")
+        out[low:low + width] = taken @ mids
+        for r, moved in enumerate(asked - taken.sum(axis=1)):
+            if moved:                               # rows by their number among those left, or among those taken
+                pool = np.cumsum(counts - taken[r] if moved > 0 else taken[r])
+                at = np.searchsorted(pool, rng.choice(pool[-1], abs(moved), replace=False, shuffle=False), side="right")
+                out[low + r] += np.sign(moved) * mids[at].sum()
     return out
 
 

@@ -1,5 +1,6 @@
 import itertools
 import math
+import time
 
 import numpy as np
 import pytest
@@ -308,3 +309,34 @@ def test_permutation_null_arguments(spark):
         diagnose.permutation_null(study, metric="flux")
     with pytest.raises(ValueError, match="normalize_mode"):
         diagnose.permutation_null(study, normalize_mode="max")
+
+
+def test_subset_rank_sums_of_many_rows_follow_the_law_and_cost_little(monkeypatch):
+    rng = np.random.default_rng(4)
+    counts = np.concatenate([rng.integers(1, 60, 3000), [9000]])          # 9000: beyond the tabulated laws
+    mids = np.cumsum(counts) - counts + (counts + 1) / 2
+    n = int(counts.sum())
+    take = np.full(600, n // 2) + np.arange(600) % 3
+    start = time.perf_counter()
+    got = auc._subset_rank_sums(rng, counts, mids, take)
+    fast = time.perf_counter() - start
+    start = time.perf_counter()
+    for count in counts[:600]:                                            # a fifth of what one draw per value would cost
+        hypergeometric(rng, np.full(600, count), np.full(600, n - count), take)
+    assert fast < 2.5 * (time.perf_counter() - start)
+    law = take * (n - take) / 12 * (n + 1 - (counts.astype(float) ** 3 - counts).sum() / (n * (n - 1)))
+    z = (got - take * (n + 1) / 2) / np.sqrt(law)
+    assert abs(z.mean()) < 5 / 600 ** 0.5 and 0.75 < z.var() < 1.3
+
+
+def test_subset_rank_sums_are_uniform_on_few_rows(monkeypatch):
+    monkeypatch.setattr(auc, "BLOCK_SCORES", 0)                           # no rows drawn one by one
+    counts, mids = np.array([2, 1, 3]), np.array([1.0, 10.0, 100.0])
+    got = auc._subset_rank_sums(np.random.default_rng(6), counts, mids, np.concatenate([np.full(20_000, 3), [0, 6]]))
+    assert got[-2] == 0 and got[-1] == 312
+    want = {}
+    for rows in itertools.combinations([1, 1, 10, 100, 100, 100], 3):
+        want[sum(rows)] = want.get(sum(rows), 0) + 1 / 20
+    seen = dict(zip(*np.unique(got[:-2], return_counts=True)))
+    assert seen.keys() == want.keys()
+    assert all(abs(seen[k] / 20_000 - share) < 5 * (share / 20_000) ** 0.5 for k, share in want.items())
