@@ -231,7 +231,7 @@ def auc_and_label_permutation(df: DataFrame, scores: str, labels: str, *, pos_la
         parts, mode = _permutation_parts(ranked, n_pos, n_neg, n_perm, seed, block_scores), "mc"
     sums = parts.groupBy("draw").agg(F.sum("part").alias("s"))
     auc = (F.col("s") - F.lit(n_pos * (n_pos + 1) / 2.0)) / F.lit(float(n_pos) * n_neg)
-    stats = sums.select("draw", auc.alias("auc"))
+    stats = materialise(sums.select("draw", auc.alias("auc")))      # drawn once for both results
     reach = abs(seen["auc"] - 0.5) - _TOLERANCE
     result = stats.agg(F.lit(seen["auc"]).alias("auc"),
                        F.avg((F.abs(F.col("auc") - 0.5) >= F.lit(reach)).cast("double")).alias("p"),

@@ -340,3 +340,11 @@ def test_subset_rank_sums_are_uniform_on_few_rows(monkeypatch):
     seen = dict(zip(*np.unique(got[:-2], return_counts=True)))
     assert seen.keys() == want.keys()
     assert all(abs(seen[k] / 20_000 - share) < 5 * (share / 20_000) ** 0.5 for k, share in want.items())
+
+
+def test_permuted_aucs_are_drawn_once(spark):
+    df = spark.createDataFrame([(float(i % 17), i % 2) for i in range(400)], "score double, label int")
+    out = auc.auc_and_label_permutation(df, "score", "label", n_perm=50)
+    plan = out["perm_stats"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan and "CoGroup" not in plan
+    assert out["result"].first()["n_stats"] == out["perm_stats"].count() == 50
