@@ -30,6 +30,7 @@ from couplet.spec import CLONE, COVARIATE, PHENOTYPE, Study
 MAGNITUDE_FLOOR = 1e-6  # Fixed value: smallest total concentration.
 _BLOCK_VALUES = 2_000_000   # draw values held at once by a task
 _TASK_VALUES = 1e8          # cell x draw x phenotype values folded by a task
+_TASK_BLOCKS = 5e6          # draw values of folded pairs in a task
 _TASK_DRAWS = 2e6           # draw values generated by a task
 
 
@@ -208,12 +209,11 @@ def _fold_draws(study: Study, cells: DataFrame, dims: DataFrame, measured: Looku
     size = study.size
     names = [COVARIATE, CLONE, *label_columns(dims), "__salt"]
     on = [CLONE, COVARIATE]
-    joined = lookup_join(cells, dims, on, "n_cells", side=measured, salt_column="__salt")
-    if measured.broadcast:
-        tasks = task_count(study.spark, float(measured.fact_rows) * n_samples * size, _TASK_VALUES)
-        joined = joined.repartition(tasks, *on, "__salt")
-    else:       # no further exchange where the shuffled lookup places equal pairs together; AQE may have replaced it
-        joined = joined.repartition(*on, "__salt")
+    # cells bound the work of a task, pairs what it passes on; the bytes of the cells say nothing about either
+    tasks = max(task_count(study.spark, float(measured.fact_rows) * n_samples * size, _TASK_VALUES),
+                task_count(study.spark, float(measured.rows) * n_samples * size, _TASK_BLOCKS))
+    joined = lookup_join(cells, dims, on, "n_cells", side=measured, salt_column="__salt", tasks=tasks)
+    joined = joined.repartition(tasks, *on, "__salt")       # no further exchange where the lookup was shuffled into these tasks
     ready = joined.sortWithinPartitions(*on, "__salt").select(*names, checked_logits(size), "base", "magnitude", _pair_key())
     step = max(1, _BLOCK_VALUES // (n_samples * size))
 

@@ -181,3 +181,12 @@ def test_cells_without_logits_fail_instead_of_vanishing(spark, rows):
             joint.joint_table(partial, n_samples=n).collect()
     with pytest.raises(Exception, match="no logits vector"):
         evidence.predict(partial).collect()
+
+
+def test_lookup_shuffles_into_the_asked_number_of_tasks(spark):
+    from couplet.operators.shared import LookupSide, lookup_join, materialise
+    facts = spark.range(200).selectExpr("id % 20 as k", "id as v")
+    dim = materialise(facts.groupBy("k").count().withColumnRenamed("count", "n"))
+    side = LookupSide(20, 200, False, 256, 10)
+    joined = lookup_join(facts, dim, ["k"], "n", side=side, salt_column="__salt", tasks=37).repartition(37, "k", "__salt")
+    assert joined.count() == 200 and joined.rdd.getNumPartitions() == 37
