@@ -126,6 +126,49 @@ def test_long_texts_align_as_whole_ones(spark, pair, monkeypatch):
         assert (x.to_pylist() if hasattr(x, "to_pylist") else x.tolist()) == (y.to_pylist() if hasattr(y, "to_pylist") else y.tolist())
 
 
+ODD_TEXTS = [t.replace("{}", sign) for sign in ("▁", "\xa0", "\x1c", "\u2028", "\u200b", "\t", "  ", "\r\n", "\u0301", "'ll", "</s>", "日本", "12")
+             for t in ("a {} b", "a{} b", "a {}b", "{} a b", " a b {}", "{}{} {} a", "some words, {}a{} and some words, again ")]
+
+
+def test_texts_cut_into_words_align_as_whole_ones(pair):
+    for cuts in (True, False):                               # False: vocabularies with tokens over several words
+        fresh = cross_tokens.TokenizerPair(queries.BYTE_VOCABULARY, queries.corpus_pipeline.PIECE_MODEL)
+        fresh._prepare()
+        assert fresh.cuts
+        fresh.cuts = cuts
+        fresh._ready = True
+        for texts in (ODD_TEXTS, ODD_TEXTS[::-1]):           # the second time all words are known
+            n_a, n_b, n_groups, n_links, groups, pairs, pair_links = fresh.align(texts)
+            for i, text in enumerate(texts):
+                n, m, k, links, said = aligned_plainly(pair, text) or (0, 0, 0, [], "")
+                assert (n_a[i], n_b[i], n_groups[i], n_links[i], groups[i].as_py()) == (n, m, k, len(links), said), text
+                assert dict(zip(pairs[i].as_py(), pair_links[i].as_py())) == collections.Counter(a * pair.n_b + b for a, b in links)
+    assert cross_tokens._Spelling([b" a", b"b c"]).crosses and not cross_tokens._Spelling([b" a", b"b", b"\n  "]).crosses
+
+
+def test_tokenizers_see_a_word_once(monkeypatch):
+    fresh = cross_tokens.TokenizerPair(queries.BYTE_VOCABULARY, queries.corpus_pipeline.PIECE_MODEL)
+    texts = [" ".join(f"word{(i * j) % 50}," for i in range(200)) for j in range(1, 30)]
+    fresh.align(["warm"])
+    seen = collections.Counter()
+
+    class Counting:
+        def __init__(self, own, side):
+            self.own, self.side = own, side
+
+        def encode(self, texts, **options):
+            seen[self.side] += sum(map(len, texts))
+            return self.own(texts, **options)
+
+        encode_batch = encode_batch_fast = encode
+
+    monkeypatch.setattr(fresh, "a", Counting(fresh.a.encode_batch, "a"))
+    monkeypatch.setattr(fresh, "b", Counting(fresh.b.encode, "b"))
+    fresh.align(texts)
+    fresh.align(texts[::-1])
+    assert 0 < max(seen.values()) <= 50 * len(" word49,")
+
+
 @pytest.mark.parametrize("bound", [1 << 26, 100])            # counts broadcast, and shuffled with hot keys apart
 def test_link_scores_equal_brute_force(spark, pair, monkeypatch, bound):
     monkeypatch.setattr(shared, "BROADCAST_BYTES", bound)
